@@ -62,3 +62,23 @@ def json_rows(df: DataFrame) -> DataFrame:
         as_text(F.col(f"_{i}"), field.dataType) for i, field in enumerate(df.schema.fields)
     ]
     return positional.select(F.to_json(F.array(*cells)).alias("row"))
+
+
+# Database type numbers of each neutral type.
+TYPE_NUMBERS = {
+    "Text": [25, 1043, 1042],
+    "Integer": [20, 21, 23],
+    "Float": [700, 701],
+    "Numeric": [1700],
+    "Boolean": [16],
+    "Timestamp": [1114, 1184],
+    "Date": [1082],
+}
+
+
+def neutral_type_of_number(number: Column) -> Column:
+    """Neutral type of a result column's database type number; unlisted is ``Other``."""
+    chain = F.when(number.isNull(), F.lit("Other"))
+    for name, numbers in TYPE_NUMBERS.items():
+        chain = chain.when(number.isin(numbers), F.lit(name))
+    return chain.otherwise(F.lit("Other"))

@@ -1,15 +1,12 @@
-"""Column catalogs: what columns tables have, and which of them are PII.
-
-A catalog describes schemas. It is built from metadata already on the driver;
-its size is the number of columns, and no table data is read for it.
-"""
+"""Column catalogs: neutral types of columns, and which of them are PII."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewarden import vocab
-from tablewarden.functions.render import neutral_type
+from tablewarden.functions.render import neutral_type, neutral_type_of_number
 from tablewarden.operators.classify import lookup_in_table
 
 CATALOG_SCHEMA = "table_name string, ordinal int, column_name string, neutral_type string"
@@ -17,6 +14,7 @@ MAPPING_SCHEMA = "column_name string, category string"
 
 
 def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Columns of known tables; built from schemas the driver has, no data is read."""
     rows = [
         (table, ordinal, field.name, neutral_type(field.dataType))
         for table, df in tables.items()
@@ -25,10 +23,32 @@ def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+def result_catalog(results: DataFrame) -> DataFrame:
+    """One row per column of every statement's result.
+
+    Reads ``statement_id`` and ``result_types array<struct<name,type_number>>``.
+    """
+    return results.select(
+        "statement_id", F.posexplode("result_types").alias("ordinal", "_column")
+    ).select(
+        "statement_id",
+        "ordinal",
+        F.col("_column.name").alias("column_name"),
+        neutral_type_of_number(F.col("_column.type_number")).alias("neutral_type"),
+    )
+
+
 def mapping_table(spark: SparkSession, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     return spark.createDataFrame(pairs or vocab.DEFAULT_MAPPING, MAPPING_SCHEMA)
 
 
-def pii_catalog(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The catalog with a class and category per column."""
-    return lookup_in_table(catalog, "column_name", mapping)
+def pii_catalog(columns: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Each distinct column name and type with its class and how often it occurs.
+
+    Names are counted before the lookup, so a name that most results share costs
+    one row.
+    """
+    counted = columns.groupBy("column_name", "neutral_type").agg(
+        F.count("*").alias("occurrences")
+    )
+    return lookup_in_table(counted, "column_name", mapping)

@@ -56,7 +56,7 @@ FACTS = {
          WHEN 2 THEN 'public.pg_x,customers' ELSE 'a,b,c,d,e,f,g,h,i' END END END""",
     "projection_csv": """CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'id,c.Email'
         WHEN 2 THEN 'phone' ELSE 'id,amount' END""",
-    "result_csv": """CASE WHEN event_id % 14 = 0 THEN '' WHEN event_id % 9 = 0 THEN 'id'
+    "result_csv": """CASE WHEN event_id % 14 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'id'
         WHEN event_id % 4 = 0 THEN 'id,EMAIL,phone,Credit_Card,note'
         WHEN event_id % 4 = 2 THEN 'contact' ELSE 'first,second' END""",
     "has_wildcard": "event_id % 3 = 0",

@@ -70,3 +70,9 @@ def read_release(spark: SparkSession, store: str, release_id: str) -> DataFrame:
     if entry["format"] == "parquet":
         return spark.read.parquet(path)
     return spark.read.text(path).withColumnRenamed("value", "row")
+
+
+def read_all(spark: SparkSession, store: str) -> DataFrame:
+    """Rows of every published parquet release of a store whose results share a schema."""
+    entries = releases(spark, store).filter("format = 'parquet'").select("folder").collect()
+    return spark.read.parquet(*[f"{store}/data/{e['folder']}" for e in entries])
