@@ -36,19 +36,33 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A[ \t\n\r\f\x0B]*\z"), F.lit(True))
 
 
-def is_system_table(entry: Column) -> Column:
-    """Catalog schemas, or a table part that starts with ``pg_``.
+# No identifier can hold a NUL character, so joined names stay apart.
+_NUL = "\x00"
 
-    The split is at the first dot; an unqualified name is all table part.
+# What makes a name a system table, and what a valid name looks like.
+_SYSTEM_NAME = r"(?:pg_catalog\.|information_schema\.|(?:[^.\x00]*\.)?pg_)"
+_PLAIN_NAME = rf"[A-Za-z_][A-Za-z0-9_$]{{0,{vocab.MAX_TABLE_NAME_BYTES - 1}}}"
+
+
+def any_system_table(names: Column) -> Column:
+    """A catalog schema, or a table part that starts with ``pg_``, in any ASCII case.
+
+    A name splits at its first dot; an unqualified name is all table part. The
+    list is tested as one text, which keeps the check inside generated code. A
+    NULL name counts as a hit.
     """
-    name = ascii_lower(entry)
-    return name.rlike(r"\A(?:pg_catalog\.|information_schema\.|(?:[^.]*\.)?pg_)")
+    joined = F.array_join(names, _NUL, null_replacement="pg_")
+    return joined.rlike(rf"(?i)(?:\A|\x00){_SYSTEM_NAME}")
+
+
+def all_valid_table_names(names: Column) -> Column:
+    """Every name is a plain unqualified ASCII identifier of at most 63 bytes."""
+    joined = F.array_join(names, _NUL, null_replacement="?")
+    return joined.rlike(rf"\A{_PLAIN_NAME}(?:\x00{_PLAIN_NAME})*\z")
 
 
 def valid_table_name(name: Column) -> Column:
-    """A plain unqualified ASCII identifier of at most 63 bytes."""
-    longest_tail = vocab.MAX_TABLE_NAME_BYTES - 1
-    return name.rlike(rf"\A[A-Za-z_][A-Za-z0-9_$]{{0,{longest_tail}}}\z")
+    return name.rlike(rf"\A{_PLAIN_NAME}\z")
 
 
 def statement_class(statement_type: Column) -> Column:

@@ -29,8 +29,8 @@ def result_catalog(results: DataFrame) -> DataFrame:
     Reads ``statement_id`` and ``result_types array<struct<name,type_number>>``.
     """
     return results.select(
-        "statement_id", F.posexplode("result_types").alias("ordinal", "_column")
-    ).select(
+        "statement_id", F.posexplode_outer("result_types").alias("ordinal", "_column")
+    ).filter("ordinal IS NOT NULL").select(
         "statement_id",
         "ordinal",
         F.col("_column.name").alias("column_name"),

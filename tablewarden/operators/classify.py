@@ -44,13 +44,12 @@ class Mapping:
     def category_of(self, name: str) -> str | None:
         return self.categories.get(fold(name))
 
-    def lookup(self, name: Column) -> Column:
-        """Category of a name column, NULL on a miss.
+    def lookup(self, key: Column) -> Column:
+        """Category of an already folded name, NULL on a miss.
 
         One set membership test per category, so cost does not grow with the
         number of mapped names and no join is needed.
         """
-        key = ascii_lower(name)
         found = F.lit(None).cast("string")
         for category in sorted(set(self.categories.values())):
             names = [k for k, v in self.categories.items() if v == category]
@@ -145,41 +144,65 @@ def classify_bulk(facts: DataFrame, mapping: Mapping | None = None) -> DataFrame
     """Add ``column_classes`` and ``fully_attributed`` to every statement.
 
     Works on the arrays in place: one projection, no explode, no join, no
-    shuffle. Use ``explode_classes`` for one row per column.
+    shuffle. Use ``explode_classes`` for one row per column. Arrays are passed
+    from one higher-order function to the next as arguments, never captured in a
+    lambda, so each is built once per statement.
     """
     mapping = mapping or Mapping()
     mode = F.col("attribution")
-    # The name each result column is judged by; NULL when no name is consulted.
-    judged_by = F.when(
-        mode == "POSITIONAL", F.transform("projection_columns", strip_qualifier)
-    ).when(mode == "WILDCARD", F.col("result_columns"))
+    names = F.col("result_columns")
+    # The name each column is judged by; a count is judged by none.
+    judged_by = (
+        F.when(mode == "POSITIONAL", F.transform("projection_columns", strip_qualifier))
+        .when(mode == "WILDCARD", names)
+        .otherwise(F.transform(names, lambda _: F.lit(None).cast("string")))
+    )
+    categories = F.transform(F.transform(judged_by, ascii_lower), mapping.lookup)
 
-    def one_class(ordinal: Column) -> Column:
-        category = mapping.lookup(F.get(judged_by, ordinal))
+    def class_of(name: Column, data_class: Column, category: Column, ordinal: Column) -> Column:
         return F.struct(
             ordinal.alias("ordinal"),
-            F.get(F.col("result_columns"), ordinal).alias("column_name"),
-            F.when(mode.isNull(), F.lit(vocab.UNATTRIBUTED))
-            .when(category.isNotNull(), F.lit(vocab.PII))
-            .otherwise(F.lit(vocab.NOT_PII))
-            .alias("data_class"),
+            name.alias("column_name"),
+            data_class.alias("data_class"),
             category.alias("category"),
         )
 
-    width = F.size("result_columns")
-    ordinals = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(
-        F.array().cast("array<int>")
+    unattributed = F.transform(
+        names,
+        lambda name, i: class_of(
+            name, F.lit(vocab.UNATTRIBUTED), F.lit(None).cast("string"), i
+        ),
+    )
+    paired = F.zip_with(
+        names, categories, lambda n, c: F.struct(n.alias("name"), c.alias("category"))
+    )
+    attributed = F.transform(
+        paired,
+        lambda pair, i: class_of(
+            pair["name"],
+            F.when(pair["category"].isNotNull(), F.lit(vocab.PII)).otherwise(F.lit(vocab.NOT_PII)),
+            pair["category"],
+            i,
+        ),
     )
     return with_attribution_mode(facts).select(
         "*",
-        F.transform(ordinals, one_class).alias("column_classes"),
-        (mode.isNotNull() | (width == 0)).alias("fully_attributed"),
+        F.when(mode.isNull(), unattributed).otherwise(attributed).alias("column_classes"),
+        F.coalesce(mode.isNotNull() | (F.size(names) == 0), F.lit(False)).alias(
+            "fully_attributed"
+        ),
     )
 
 
 def explode_classes(classified: DataFrame) -> DataFrame:
-    """One row per statement and result column."""
-    return classified.select("statement_id", F.inline("column_classes"))
+    """One row per statement and result column.
+
+    The outer form, because for the plain one Spark adds a non-empty filter that
+    repeats the whole classification.
+    """
+    return classified.select("statement_id", F.inline_outer("column_classes")).filter(
+        "ordinal IS NOT NULL"
+    )
 
 
 def with_pii_counts(classified: DataFrame) -> DataFrame:

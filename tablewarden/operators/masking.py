@@ -48,14 +48,14 @@ def mask_table(df: DataFrame, classes: Classification) -> DataFrame:
     return positional.select(*columns)
 
 
-def positional_refusals(rows: DataFrame, classified: DataFrame) -> DataFrame:
-    """Statements whose rows or classes fail the preflight, with the reason.
+def _preflighted(rows: DataFrame, classified: DataFrame) -> DataFrame:
+    """Classified statements with ``masking_failure``, NULL when rows may be masked.
 
     ``rows(statement_id, row_no, cells)`` is reduced to its widths per statement
     before the shuffle, so a statement with very many rows stays one small group.
     """
     widths = rows.groupBy("statement_id").agg(
-        F.min(F.size("cells")).alias("narrowest"), F.max(F.size("cells")).alias("widest")
+        F.min(F.size("cells")).alias("_narrowest"), F.max(F.size("cells")).alias("_widest")
     )
     width = F.size("column_classes")
     broken_contract = F.exists(
@@ -65,20 +65,24 @@ def positional_refusals(rows: DataFrame, classified: DataFrame) -> DataFrame:
     unattributed = F.exists("column_classes", lambda c: c["data_class"] == vocab.UNATTRIBUTED)
     reason = (
         F.when(
-            F.size("column_classes") != F.size("result_columns"), F.lit(vocab.STRUCTURAL_MISMATCH)
-        )
-        .when(
-            (F.col("narrowest") != width) | (F.col("widest") != width),
+            (width != F.size("result_columns"))
+            | (F.col("_narrowest") != width)
+            | (F.col("_widest") != width),
             F.lit(vocab.STRUCTURAL_MISMATCH),
         )
         .when(broken_contract, F.lit(vocab.INVALID_CLASSIFICATION))
         .when(F.col("fully_attributed") == unattributed, F.lit(vocab.INVALID_CLASSIFICATION))
         .when(unattributed, F.lit(vocab.UNATTRIBUTED_COLUMN))
     )
+    return classified.join(widths, "statement_id", "left").withColumn("masking_failure", reason)
+
+
+def positional_refusals(rows: DataFrame, classified: DataFrame) -> DataFrame:
+    """Statements whose rows or classes fail the preflight, with the reason."""
     return (
-        classified.join(widths, "statement_id", "left")
-        .select("statement_id", reason.alias("masking_failure"))
+        _preflighted(rows, classified)
         .filter(F.col("masking_failure").isNotNull())
+        .select("statement_id", "masking_failure")
     )
 
 
@@ -86,12 +90,16 @@ def mask_positional_rows(rows: DataFrame, classified: DataFrame) -> DataFrame:
     """Mask ``cells array<string>`` by the classes of each row's statement.
 
     Rows of refused statements are absent; a statement is released whole or not
-    at all. The rows side is the one that can be skewed, and both joins keep it
-    on the side adaptive execution may split.
+    at all. Only the rows side can be skewed, and in an inner join adaptive
+    execution may split it.
     """
-    refused = positional_refusals(rows, classified)
-    released = classified.join(refused, "statement_id", "left_anti").select(
-        "statement_id", F.transform("column_classes", lambda c: c["category"]).alias("_categories")
+    released = (
+        _preflighted(rows, classified)
+        .filter(F.col("masking_failure").isNull())
+        .select(
+            "statement_id",
+            F.transform("column_classes", lambda c: c["category"]).alias("_categories"),
+        )
     )
     return rows.join(released, "statement_id").select(
         "statement_id",

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablewarden import vocab
 from tablewarden.functions.text import (
+    any_system_table,
     is_blank,
-    is_system_table,
     qualified_name,
     statement_class,
 )
@@ -116,7 +116,7 @@ def rejection_reason() -> Column:
     status = F.col("status")
     kind = statement_class(F.col("statement_type"))
     incomplete = F.coalesce(F.size("unsupported_features") > 0, F.lit(True))
-    system_table = F.coalesce(F.exists("tables", is_system_table), F.lit(True))
+    system_table = F.coalesce(any_system_table(F.col("tables")), F.lit(True))
     mixed_star = F.coalesce(F.col("has_wildcard_projection"), F.lit(True)) & F.coalesce(
         F.size("projection_columns") > 0, F.lit(True)
     )

@@ -251,8 +251,8 @@ def q_cross_join(spark, sf):
 
 def q_mapping_lookup(spark, sf):
     names = derived.statement_facts(spark, sf).select(
-        "statement_id", F.explode("projection_columns").alias("column_name")
-    )
+        "statement_id", F.explode_outer("projection_columns").alias("column_name")
+    ).filter("column_name IS NOT NULL")
     return lookup_in_table(names, "column_name", catalog.mapping_table(spark))
 
 
