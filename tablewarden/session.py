@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM leaves methods above this size uncompiled; Spark then splits the work
+    # into smaller generated methods instead of one huge loop.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Of equal keys in one JSON object the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
