@@ -22,7 +22,7 @@ def json_object(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    alone = F.array_size(F.try_variant_get(listed, "$", "array<variant>")) == 1
     # Filtering a one-element array tests the value without parsing it again.
     value = F.array(F.try_variant_get(boxed, "$.v", "variant"))
     objects = F.filter(value, lambda v: F.startswith(_kind(v), F.lit("OBJECT")))

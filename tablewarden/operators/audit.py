@@ -90,8 +90,8 @@ CLOSED_VOCABULARY = {
 def table_metadata_state(tables: Column) -> Column:
     """ABSENT (no list), OMITTED (a name or the count is not acceptable) or PRESENT."""
     return (
-        F.when(F.coalesce(F.size(tables), F.lit(0)) == 0, F.lit("ABSENT"))
-        .when(F.size(tables) > vocab.MAX_AUDITED_TABLES, F.lit("OMITTED"))
+        F.when(F.coalesce(F.array_size(tables), F.lit(0)) == 0, F.lit("ABSENT"))
+        .when(F.array_size(tables) > vocab.MAX_AUDITED_TABLES, F.lit("OMITTED"))
         .when(F.coalesce(all_valid_table_names(tables), F.lit(False)), F.lit("PRESENT"))
         .otherwise(F.lit("OMITTED"))
     )
@@ -301,8 +301,8 @@ def with_line_violations(lines: DataFrame) -> DataFrame:
     checks = [
         F.when(~is_object, F.lit("NOT_A_JSON_OBJECT")),
         found("MISSING_OUTCOME", is_object & F.coalesce(kind("outcome") != "STRING", F.lit(True))),
-        found("MISSING_KEY", F.size(F.array_except(expected, schema_keys)) > 0),
-        found("UNEXPECTED_KEY", F.size(F.array_except(schema_keys, expected)) > 0),
+        found("MISSING_KEY", F.array_size(F.array_except(expected, schema_keys)) > 0),
+        found("UNEXPECTED_KEY", F.array_size(F.array_except(schema_keys, expected)) > 0),
         found("FORBIDDEN_KEY", F.arrays_overlap(keys, _text_array(FORBIDDEN_KEYS))),
         found(
             "BOTH_TABLE_KEYS",
@@ -322,7 +322,7 @@ def with_line_violations(lines: DataFrame) -> DataFrame:
             kind("referenced_tables").isNotNull()
             & (
                 ~F.startswith(kind("referenced_tables"), F.lit("ARRAY"))
-                | (F.size(names) > vocab.MAX_AUDITED_TABLES)
+                | (F.array_size(names) > vocab.MAX_AUDITED_TABLES)
                 | bad_name
             ),
         ),

@@ -107,14 +107,14 @@ def with_attribution_mode(facts: DataFrame) -> DataFrame:
     ``result_columns array<string>``.
     """
     analyzable = (F.col("status") == vocab.OK) & (F.col("statement_type") == "SELECT")
-    listed = F.size("projection_columns")
+    listed = F.array_size("projection_columns")
     computed_free = _absent("has_computed_projection")
     positional = (
         computed_free
         & _absent("has_wildcard_projection")
         & _absent("has_safe_count_star_projection")
         & (listed > 0)
-        & (listed == F.size("result_columns"))
+        & (listed == F.array_size("result_columns"))
     )
     wildcard = (
         computed_free
@@ -188,7 +188,7 @@ def classify_bulk(facts: DataFrame, mapping: Mapping | None = None) -> DataFrame
     return with_attribution_mode(facts).select(
         "*",
         F.when(mode.isNull(), unattributed).otherwise(attributed).alias("column_classes"),
-        F.coalesce(mode.isNotNull() | (F.size(names) == 0), F.lit(False)).alias(
+        F.coalesce(mode.isNotNull() | (F.array_size(names) == 0), F.lit(False)).alias(
             "fully_attributed"
         ),
     )
@@ -210,7 +210,7 @@ def with_pii_counts(classified: DataFrame) -> DataFrame:
 
     def count_of(category: str) -> Column:
         hits = F.filter("column_classes", lambda c: c["category"] == category)
-        return F.size(hits).cast("bigint")
+        return F.array_size(hits).cast("bigint")
 
     return classified.select(
         "*",

@@ -1,20 +1,52 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows.
 
-An inner join is left to Spark: adaptive execution splits a skewed partition of
-either side. It cannot split the optional side of an outer join, so outer joins
-are put together from an inner join and anti joins against distinct keys.
+A plain inner join of two relations is left to Spark: adaptive execution splits
+a skewed partition of either side. Two cases are not covered by it and are built
+here: the optional side of an outer join, and a lookup side that was grouped by
+the key before, because then the join has no shuffle of its own to split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Copies of the lookup side in spread_join. Few are enough: what matters most is
+# that the join shuffles anew, so adaptive execution can split further.
+SALTS = 4
+
+
+def spread_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    rows_key: str,
+    lookup_key: str,
+    spread_by: list[str],
+    how: str = "inner",
+) -> DataFrame:
+    """Join many rows to a grouped lookup side (at most one row per key).
+
+    Rows of one key go to several partitions by a hash of ``spread_by``; the
+    lookup side is copied to each of them. ``how`` may be inner, left, left_semi
+    or left_anti. The two keys must have different names.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meets = (F.col(rows_key) == F.col(lookup_key)) & (F.col("_salt") == F.col("_copy"))
+    return salted.join(copies, meets, how).drop("_salt", "_copy")
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [
+        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
 
 
 def _unmatched(keep: DataFrame, keep_key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows of ``keep`` without a partner. Distinct keys are formed before the shuffle."""
     keys = other.select(F.col(other_key).alias("_key")).distinct()
-    return keep.join(keys, F.col(keep_key) == F.col("_key"), "left_anti")
+    return spread_join(keep, keys, keep_key, "_key", _hashable(keep), "left_anti")
 
 
 def outer_join(

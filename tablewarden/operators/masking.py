@@ -10,6 +10,7 @@ from tablewarden import vocab
 from tablewarden.functions.masks import mask_as, mask_by_category
 from tablewarden.functions.render import as_text, by_position
 from tablewarden.operators.classify import Classification
+from tablewarden.operators.joins import spread_join
 from tablewarden.refusals import InternalFailure, MaskingRefused
 
 
@@ -55,9 +56,9 @@ def _preflighted(rows: DataFrame, classified: DataFrame) -> DataFrame:
     before the shuffle, so a statement with very many rows stays one small group.
     """
     widths = rows.groupBy("statement_id").agg(
-        F.min(F.size("cells")).alias("_narrowest"), F.max(F.size("cells")).alias("_widest")
+        F.min(F.array_size("cells")).alias("_narrowest"), F.max(F.array_size("cells")).alias("_widest")
     )
-    width = F.size("column_classes")
+    width = F.array_size("column_classes")
     broken_contract = F.exists(
         "column_classes",
         lambda c: (c["data_class"] == vocab.PII) != c["category"].isNotNull(),
@@ -65,7 +66,7 @@ def _preflighted(rows: DataFrame, classified: DataFrame) -> DataFrame:
     unattributed = F.exists("column_classes", lambda c: c["data_class"] == vocab.UNATTRIBUTED)
     reason = (
         F.when(
-            (width != F.size("result_columns"))
+            (width != F.array_size("result_columns"))
             | (F.col("_narrowest") != width)
             | (F.col("_widest") != width),
             F.lit(vocab.STRUCTURAL_MISMATCH),
@@ -90,18 +91,18 @@ def mask_positional_rows(rows: DataFrame, classified: DataFrame) -> DataFrame:
     """Mask ``cells array<string>`` by the classes of each row's statement.
 
     Rows of refused statements are absent; a statement is released whole or not
-    at all. Only the rows side can be skewed, and in an inner join adaptive
-    execution may split it.
+    at all. Only the rows side can be skewed; its rows are spread by row number.
     """
     released = (
         _preflighted(rows, classified)
         .filter(F.col("masking_failure").isNull())
         .select(
-            "statement_id",
+            F.col("statement_id").alias("_released"),
             F.transform("column_classes", lambda c: c["category"]).alias("_categories"),
         )
     )
-    return rows.join(released, "statement_id").select(
+    joined = spread_join(rows, released, "statement_id", "_released", ["row_no"])
+    return joined.select(
         "statement_id",
         "row_no",
         F.zip_with("cells", "_categories", lambda v, c: mask_by_category(c, v)).alias("cells"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewarden import vocab
+from tablewarden.operators.joins import spread_join
 from tablewarden.operators.sequence import assign_dense_ids
 
 # Fixed value: column type of an order amount.
@@ -49,10 +50,9 @@ def validate_shape_and_type(candidates: DataFrame) -> DataFrame:
 def validate_orders(candidates: DataFrame, customers: DataFrame) -> DataFrame:
     """Add ``status`` and the typed values; an unknown customer fails execution.
 
-    One left join on the id marks known customers. The batch is the preserved
-    side, so a customer with very many candidates is split by adaptive
-    execution; the customer side is one id column, and Catalyst broadcasts it
-    only while its measured size allows that.
+    One left join on the id marks known customers. Candidates of one customer
+    are spread by their own id; the customer side is one id column, and Catalyst
+    broadcasts it only while its measured size allows that.
     """
     known = customers.select(F.col("id").alias("_known")).distinct()
     checked = validate_shape_and_type(candidates).withColumn(
@@ -60,7 +60,7 @@ def validate_orders(candidates: DataFrame, customers: DataFrame) -> DataFrame:
     )
     orphan = (F.col("status") == ACCEPTED) & F.col("_known").isNull()
     return (
-        checked.join(known, F.col("_customer") == F.col("_known"), "left")
+        spread_join(checked, known, "_customer", "_known", ["id"], "left")
         .withColumn(
             "status", F.when(orphan, F.lit(vocab.EXECUTION_FAILURE)).otherwise(F.col("status"))
         )

@@ -41,7 +41,7 @@ def normalize_facts(raw: DataFrame) -> DataFrame:
     row keeps the rejecting defaults.
     """
     parsed = F.coalesce(F.col("parse_success"), F.lit(False))
-    found = F.coalesce(F.size("statements"), F.lit(0))
+    found = F.coalesce(F.array_size("statements"), F.lit(0))
     status = (
         F.when(is_blank(F.col("sql")), F.lit(vocab.EMPTY_INPUT))
         .when(~parsed | (found == 0), F.lit(vocab.PARSE_ERROR))
@@ -101,7 +101,7 @@ def insert_rejection() -> Column:
     for pair in accepted_kinds:
         kinds = kinds | (F.col("insert_value_kinds") == _text_array(pair))
     shape = (
-        (F.size("unsupported_features") == 0)
+        (F.array_size("unsupported_features") == 0)
         & (F.col("insert_source") == vocab.INSERT_VALUES)
         & (F.col("affected_columns") == _text_array(vocab.INSERT_COLUMNS))
         & kinds
@@ -115,10 +115,10 @@ def rejection_reason() -> Column:
     """The ordered rules; the first that matches decides, NONE means allowed."""
     status = F.col("status")
     kind = statement_class(F.col("statement_type"))
-    incomplete = F.coalesce(F.size("unsupported_features") > 0, F.lit(True))
+    incomplete = F.coalesce(F.array_size("unsupported_features") > 0, F.lit(True))
     system_table = F.coalesce(any_system_table(F.col("tables")), F.lit(True))
     mixed_star = F.coalesce(F.col("has_wildcard_projection"), F.lit(True)) & F.coalesce(
-        F.size("projection_columns") > 0, F.lit(True)
+        F.array_size("projection_columns") > 0, F.lit(True)
     )
     return (
         F.when(status == vocab.EMPTY_INPUT, F.lit(vocab.EMPTY_INPUT))

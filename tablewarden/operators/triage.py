@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewarden import vocab
 from tablewarden.functions.json import is_json_text, json_object
+from tablewarden.functions.once import with_computed_once
 
 # Fixed value: accepted content type prefix, case-sensitive.
 JSON_CONTENT_TYPE = "application/json"
@@ -22,7 +23,7 @@ def triage(requests: DataFrame) -> DataFrame:
     parsed = requests.withColumn("_body", json_object(F.col("body")))
     field = F.try_variant_get(F.col("_body"), "$.sql", "variant")
     typed = parsed.withColumn(
-        "sql", F.when(is_json_text(field), F.try_variant_get(F.col("_body"), "$.sql", "string"))
+        "_sql", F.when(is_json_text(field), F.try_variant_get(F.col("_body"), "$.sql", "string"))
     )
     code = (
         F.when(
@@ -30,12 +31,13 @@ def triage(requests: DataFrame) -> DataFrame:
             F.lit("invalid_content_type"),
         )
         .when(F.col("_body").isNull(), F.lit("invalid_json"))
-        .when(F.col("sql").isNull(), F.lit("invalid_request"))
-        .when(F.octet_length("sql") > vocab.MAX_SQL_BYTES, F.lit("sql_too_large"))
+        .when(F.col("_sql").isNull(), F.lit("invalid_request"))
+        .when(F.octet_length("_sql") > vocab.MAX_SQL_BYTES, F.lit("sql_too_large"))
     )
-    return typed.withColumn("transport_code", code).select(
+    judged = with_computed_once(typed, _text=F.col("_sql"), transport_code=code)
+    return judged.select(
         *requests.columns,
-        F.when(F.col("transport_code").isNull(), F.col("sql")).alias("sql"),
+        F.when(F.col("transport_code").isNull(), F.col("_text")).alias("sql"),
         "transport_code",
     )
 

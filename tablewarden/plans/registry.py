@@ -44,7 +44,7 @@ LINE_DEFECTS = """CASE request_id % 19
     WHEN 8 THEN concat(value, ' rest')
     ELSE value END"""
 
-# A statement text that leaked into some lines, and what must never be found.
+# A statement text that leaked into some lines, and what must never be found.
 LINE_LEAKS = """CASE WHEN request_id % 101 = 0
     THEN concat('{"note":"SELECT id FROM customers WHERE email = ''zzq-canary-9137@example.com''",', substr(value, 2))
     ELSE value END"""
@@ -517,7 +517,7 @@ def _positional_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.explode(F.sequence(F.lit(1), (F.col("statement_id") % 3 + 1).cast("int"))).alias("row_no"),
     )
     wide = (F.col("statement_id") % 37 == 0) & (F.col("row_no") == 1)
-    width = F.size("result_columns") + F.when(wide, 1).otherwise(0)
+    width = F.array_size("result_columns") + F.when(wide, 1).otherwise(0)
 
     def cell(j: Column) -> Column:
         text = F.col("statement_id").cast("string")

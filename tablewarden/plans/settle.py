@@ -34,7 +34,7 @@ def settle(
             "masking_failure", F.coalesce("masking_failure", unattributed)
         )
     return request_outcome(
-        failed.withColumn("column_count", F.size("result_columns").cast("bigint"))
+        failed.withColumn("column_count", F.array_size("result_columns").cast("bigint"))
     )
 
 

@@ -217,3 +217,13 @@ def test_timestamps_ignore_the_session_zone(spark):
         ("2026-08-02T10:00:00.000Z", True),
         ("2026-08-02T10:00:00.007Z", True),
     ]
+
+
+def test_missing_facts_reject_without_ansi_too(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        test_missing_facts_reject(spark)
+        test_the_one_permitted_insert(spark)
+        test_normalized_facts(spark)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
