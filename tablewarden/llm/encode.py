@@ -1,20 +1,23 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of encoded words.
 
-Both vocabularies in use cut a text at every change from a printing character to a space or line
-end, so the text's ids are those of its space-led words, one after the other. Words of plain Latin
-letters, digits and signs go straight to the tokenizer's model; any other word, and any text with an
-unusual space, takes the tokenizer's whole way.
+A text of plain Latin letters, digits and signs is cut into pre-tokens here, and those not yet in
+memory go straight to the tokenizer's model. Any other text is cut where a printing character is
+followed by a space or line end, which both vocabularies in use cut as well; of its words, those that
+are not plain, and any text with an unusual space, take the tokenizer's whole way.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
+MISSES_BEFORE_CLEARING = 10 * CACHED_WORDS
 
 # The pre-token patterns of the two tokenizer files, for Latin-1 letters.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -34,6 +37,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Words(dict):
+    """Ids of words. A full memory takes no more words; it starts anew once too many were missed."""
+
+    def __init__(self, encode):
+        self.encode, self.missed = encode, 0
+
+    def __missing__(self, word: str) -> bytes:
+        coded = self.encode(word)
+        if len(self) < CACHED_WORDS:
+            self[word] = coded
+        else:
+            self.missed += 1
+            if self.missed > MISSES_BEFORE_CLEARING:
+                self.clear()
+                self.missed = 0
+        return coded
+
+
 class TextEncoder:
     """Encodes texts like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -52,35 +73,39 @@ class TextEncoder:
         self.words = _WORD_WORDS if self.lowers else _BYTE_WORDS
         self.tokens = _WORD_TOKENS if self.lowers else _BYTE_TOKENS
         self.letters = _byte_letters()
+        self.space = self.letters[0x20]
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
+        self.kind = "H" if self.dtype == "<u2" else "I"
+        self.ids_of_word = _Words(self._word).__getitem__
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            ids: list[int] = []
-            for token in self.tokens.findall(word.lower() if self.lowers else word):
-                shown = token.encode().decode("latin-1").translate(self.letters)
-                ids += [t.id for t in self.model.tokenize(shown)]
-            coded = np.array(ids, self.dtype).tobytes()
+        bare = word[1:] if word[0] == " " else word
+        if bare.isascii() and bare.isalpha():
+            tokens = [bare.lower() if self.lowers else word.replace(" ", self.space)]
+        elif _PLAIN.fullmatch(word):
+            found = self.tokens.findall(word.lower() if self.lowers else word)
+            tokens = [t.encode().decode("latin-1").translate(self.letters) for t in found]
         else:
-            coded = self.whole(word)
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        self.cache[word] = coded
-        return coded
+            return self.whole(word)
+        coded = array(self.kind, [t.id for token in tokens for t in self.model.tokenize(token)])
+        if sys.byteorder == "big":
+            coded.byteswap()
+        return coded.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian numbers of type ``dtype``."""
         if not text:
             return b""
+        if self.known and _PLAIN.fullmatch(text):
+            tokens = self.tokens.findall(text.lower() if self.lowers else text)
+            return b"".join(map(self.ids_of_word, tokens))
         if not self.known or (not self.lowers and _ODD_SPACE.search(text)):
             return self.whole(text)
-        cached = self.cache.get
-        return b"".join([cached(w) or self._word(w) for w in self.words.findall(text)])
+        return b"".join(map(self.ids_of_word, self.words.findall(text)))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
