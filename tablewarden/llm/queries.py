@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, chat, exact_dedup, packing, quality, secrets, token_file
+from tablewarden.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    neighbours,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_file,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +79,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return substring_dedup.removal_digests(found)
+
+
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
@@ -73,6 +93,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
