@@ -10,6 +10,7 @@ from tablewarden.llm import (
     bpe,
     chat,
     exact_dedup,
+    jaccard_join,
     neighbours,
     packing,
     quality,
@@ -31,6 +32,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_file.token_digests(_table(spark, sf_dir, "documents"), path, end_id=1)
@@ -87,6 +93,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op6_secret_scans": op6_secret_scans,
