@@ -40,7 +40,7 @@ def is_blank(text: Column) -> Column:
 _NUL = "\x00"
 
 # What makes a name a system table, and what a valid name looks like.
-_SYSTEM_NAME = r"(?:pg_catalog\.|information_schema\.|(?:[^.\x00]*\.)?pg_)"
+_SYSTEM_NAME = r"(?:pg_catalog\.|information_schema\.|[^.\x00]*\.pg_|pg_[^.\x00]*(?:\x00|\z))"
 _PLAIN_NAME = rf"[A-Za-z_][A-Za-z0-9_$]{{0,{vocab.MAX_TABLE_NAME_BYTES - 1}}}"
 
 

@@ -188,7 +188,9 @@ def classify_bulk(facts: DataFrame, mapping: Mapping | None = None) -> DataFrame
     return with_attribution_mode(facts).select(
         "*",
         F.when(mode.isNull(), unattributed).otherwise(attributed).alias("column_classes"),
-        F.coalesce(mode.isNotNull() | (F.array_size(names) == 0), F.lit(False)).alias(
+        F.coalesce(
+            (mode.isNotNull() & F.col("result_columns").isNotNull()) | (F.array_size(names) == 0), F.lit(False)
+        ).alias(
             "fully_attributed"
         ),
     )

@@ -13,7 +13,7 @@ from tablewarden import vocab
 from tablewarden.operators.classify import Classification, Mapping, classify_schema, fold
 from tablewarden.operators.masking import mask_table
 from tablewarden.operators.projection import Col, Computed, CountStar, Entry, Star, shape_of
-from tablewarden.refusals import PolicyRejected, QueryFailed
+from tablewarden.refusals import MaskingRefused, PolicyRejected, QueryFailed
 
 # Catalog schemas and prefix no guarded read may touch.
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema"]
@@ -64,8 +64,11 @@ def _raw_result(
         grouped = relation.groupBy(*group_by).agg(keep.alias("_having"), *counts)
         plain = [F.col(e.alias) if isinstance(e, CountStar) else _expression(e) for e in spec]
         raw = grouped.filter("_having")
-        raw = raw.orderBy(*order_by) if order_by else raw
+        raw = raw.orderBy(*order_by) if order_by and not distinct else raw
         raw = raw.select(*plain)
+        if distinct:
+            raw = raw.distinct()
+            raw = raw.orderBy(*order_by) if order_by else raw
     elif any(isinstance(e, CountStar) for e in spec):
         # Mixed with plain columns this fails in analysis, as in any SQL engine.
         raw = relation.agg(*selected) if all(
@@ -82,6 +85,16 @@ def _raw_result(
     return raw if limit is None else raw.limit(limit)
 
 
+def _spelled_otherwise(relation: DataFrame, spec: Sequence[Entry]) -> bool:
+    """A plain entry that resolved although no column has its name up to ASCII case.
+
+    Quotes and Unicode case rules make Spark find a column that the mapping, which goes by the spelled
+    name, would not.
+    """
+    known = {fold(c) for c in relation.columns}
+    return any(fold(e.source.rsplit(".", 1)[-1]) not in known for e in spec if isinstance(e, Col))
+
+
 def guard(
     relation: DataFrame,
     spec: Iterable[Entry],
@@ -108,6 +121,8 @@ def guard(
     shape = shape_of(spec, grouped=group_by is not None)
     if any(_is_system_table(t) for t in tables):
         raise PolicyRejected(vocab.REASON_SYSTEM_TABLE)
+    if having is not None and group_by is None:
+        raise QueryFailed("HAVING needs GROUP BY")
     if shape.has_wildcard and shape.projection_columns:
         raise PolicyRejected(vocab.REASON_UNATTRIBUTABLE)
     try:
@@ -115,6 +130,8 @@ def guard(
         names = raw.columns
     except AnalysisException as error:
         raise QueryFailed("the query was rejected") from error
+    if _spelled_otherwise(relation, spec):
+        raise MaskingRefused(vocab.UNATTRIBUTED_COLUMN, len(names))
     classes = classify_schema(shape, names, mapping)
     return GuardedResult(mask_table(raw, classes), classes, list(tables))
 

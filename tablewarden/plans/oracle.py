@@ -47,7 +47,8 @@ def _card(x: str) -> str:
 
 
 SYSTEM_TABLE = (
-    "regexp_matches(lower({t}), '^(pg_catalog\\.|information_schema\\.|pg_|[^.]*\\.pg_)')"
+    "(CASE WHEN contains({t}, '.') THEN lower(split_part({t}, '.', 1)) IN ('pg_catalog', 'information_schema')"
+    " OR starts_with(lower(substr({t}, strpos({t}, '.') + 1)), 'pg_') ELSE starts_with(lower({t}), 'pg_') END)"
 )
 ORDERS_INSERT = (
     "len(unsupported_features) = 0 AND insert_source = 'VALUES'"
@@ -254,7 +255,7 @@ FROM (SELECT *, unnest(range(1, len(result_columns) + 1)) AS i FROM facts)""",
         """SELECT statement_id, row_no, CASE WHEN width = 0 THEN [] ELSE list_transform(range(1, width + 1), lambda j:
   CASE j % 4 WHEN 1 THEN concat('user', statement_id, '@example.com')
    WHEN 2 THEN concat('05', lpad(CAST(statement_id AS VARCHAR), 8, '0'))
-   WHEN 3 THEN '4111 1111 1111 1111' END) END AS cells, width, len(result_columns) AS expected
+   WHEN 3 THEN '6200 3040 5060 7080' END) END AS cells, width, len(result_columns) AS expected
 FROM (SELECT *, len(result_columns) + CASE WHEN statement_id % 37 = 0 AND row_no = 1 THEN 1 ELSE 0 END AS width
  FROM (SELECT statement_id, result_columns, unnest(range(1, statement_id % 3 + 2)) AS row_no FROM facts))""",
         ["facts"],
@@ -441,7 +442,7 @@ def oracle_texts() -> dict[str, str]:
         "outer_join_right": _outer("RIGHT"),
         "cross_join": _with(
             "SELECT c.name, c.email, o.amount FROM masked c, purchases o"
-            " WHERE c.id = o.customer_id AND o.amount > 400000",
+            " WHERE c.id = o.customer_id",
             "masked",
             "purchases",
         ),
@@ -502,8 +503,12 @@ FROM (SELECT statement_id, column_name, {_category("regexp_replace(column_name,
             "mapping_candidates",
         ),
         "unique_check": _with(
-            "SELECT email, count(*) AS occurrences FROM contacts WHERE email IS NOT NULL"
-            " GROUP BY email HAVING count(*) > 1",
+            "SELECT email, count(*) AS occurrences FROM contacts"
+            " GROUP BY email HAVING count(*) > 1 OR email IS NULL",
+            "contacts",
+        ),
+        "unique_check_id": _with(
+            "SELECT id, count(*) AS occurrences FROM contacts GROUP BY id HAVING count(*) > 1 OR id IS NULL",
             "contacts",
         ),
         "request_id_assign": "SELECT event_id, row_number() OVER (ORDER BY date_trunc('day', ts), event_id)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +58,13 @@ def release_after_audit(
     request = {"request_id": request_id, "timestamp_ms": timestamp_ms, "statement_type": "SELECT"}
     try:
         entry = releases.stage(result.frame, store, release_id)
-    except PySparkException as error:
-        refusal = QueryFailed("the query failed while it ran")
+    except Exception as error:
+        ran = isinstance(error, (PySparkException, Py4JJavaError))
+        refusal = (
+            QueryFailed("the query failed while it ran")
+            if ran
+            else InternalFailure("the result could not be stored")
+        )
         audit_refusal(
             spark, refusal, audit_path, tables=result.tables, append=append, **request
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,10 +49,18 @@ def local_session(cores: str = "*", name: str = "tablewarden", partitions: int =
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a temporary folder used.
+    Only where a local session names none is a temporary folder used; the executors of a cluster would
+    each write to their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(tempfile.gettempdir(), "tablewarden-checkpoints")
+    return named or local_scratch(spark.sparkContext.master)
+
+
+def local_scratch(master: str) -> str:
+    """The temporary folder of a session whose tasks run in the driver's own process."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "tablewarden-checkpoints")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -27,10 +27,10 @@ CONTACTS = {
         WHEN 3 THEN concat('+1 (555) ', lpad(CAST(c_custkey AS STRING), 7, '0'))
         ELSE concat('05', lpad(CAST(c_custkey AS STRING), 8, '0')) END""",
     "credit_card": """CASE c_custkey % 5 WHEN 0 THEN NULL
-        WHEN 1 THEN concat('4111-1111-1111-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))
-        WHEN 2 THEN concat('37828224631', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))
-        WHEN 3 THEN '41x1111111111111'
-        ELSE concat('4111 1111 1111 ', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END""",
+        WHEN 1 THEN concat('6200-3040-5060-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))
+        WHEN 2 THEN concat('90210007733', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0'))
+        WHEN 3 THEN '55y2040608010'
+        ELSE concat('6200 3040 5060 ', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END""",
 }
 
 PURCHASES = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,10 @@ def releases(spark: SparkSession, store: str) -> DataFrame:
 
 def read_release(spark: SparkSession, store: str, release_id: str) -> DataFrame:
     """Rows of one published release; an unpublished one cannot be read."""
-    entry = releases(spark, store).filter(F.col("release_id") == release_id).first()
+    try:
+        entry = spark.read.schema(MANIFEST_SCHEMA).json(f"{store}/manifest/{release_id}").first()
+    except AnalysisException:
+        entry = None
     if entry is None:
         raise LookupError(f"no published release: {release_id}")
     path = f"{store}/data/{entry['folder']}"
@@ -73,6 +77,15 @@ def read_release(spark: SparkSession, store: str, release_id: str) -> DataFrame:
 
 
 def read_all(spark: SparkSession, store: str) -> DataFrame:
-    """Rows of every published parquet release of a store whose results share a schema."""
-    entries = releases(spark, store).filter("format = 'parquet'").select("folder").collect()
+    """Rows of every published release of a store whose results share a schema.
+
+    Raises where that cannot be had whole: nothing is published, or a result has duplicate names and
+    so is stored as positional rows; ``read_release`` reads such a one.
+    """
+    entries = releases(spark, store).select("release_id", "folder", "format").collect()
+    if not entries:
+        raise LookupError(f"no published release in {store}")
+    positional = sorted(e["release_id"] for e in entries if e["format"] != "parquet")
+    if positional:
+        raise ValueError(f"stored as positional rows, read them one by one: {positional[:5]}")
     return spark.read.parquet(*[f"{store}/data/{e['folder']}" for e in entries])

@@ -19,10 +19,10 @@ from tablewarden.plans.guarded import guard, guarded_read
 from tablewarden.refusals import InternalFailure, MaskingRefused, PolicyRejected, QueryFailed
 
 CUSTOMERS = [
-    (1, "Ann", "ann@example.com", "0501230101", "4111111111111111"),
-    (2, "Bob", "bob@example.org", "0524560102", "5555555555554444"),
-    (3, "Cid", "cid@example.net", None, "378282246310009"),
-    (4, "Dee", "dee@example.com", "", None),
+    (1, "Ann", "ann@mail.invalid", "+31 20 700 0101", "620030405060-1111"),
+    (2, "Bob", "bob@post.invalid", "7000102", "6200 3040 4444"),
+    (3, "Cid", "cid@home.invalid", None, "902100077330009"),
+    (4, "Dee", "dee@mail.invalid", "", None),
 ]
 
 
@@ -48,35 +48,35 @@ def rows(df):
 def test_wildcard_masks_by_result_name(customers):
     got = rows(guarded_read(customers, [Star()], order_by=["id"]))
     assert got == [
-        (1, "Ann", "a***@example.com", "***0101", "****1111"),
-        (2, "Bob", "b***@example.org", "***0102", "****4444"),
-        (3, "Cid", "c***@example.net", None, "****0009"),
-        (4, "Dee", "d***@example.com", "", None),
+        (1, "Ann", "a***@mail.invalid", "***0101", "****1111"),
+        (2, "Bob", "b***@post.invalid", "***0102", "****4444"),
+        (3, "Cid", "c***@home.invalid", None, "****0009"),
+        (4, "Dee", "d***@mail.invalid", "", None),
     ]
 
 
 def test_alias_does_not_hide_the_source_or_fake_one(customers):
     df = guarded_read(customers, [Col("c.EMAIL", "x"), Col("name", "email")], order_by=["id"])
     assert df.columns == ["x", "email"]
-    assert rows(df)[0] == ("a***@example.com", "Ann")
+    assert rows(df)[0] == ("a***@mail.invalid", "Ann")
 
 
 def test_duplicate_columns_keep_names_and_are_both_masked(customers):
     df = guarded_read(customers, [Col("email"), Col("email")], order_by=["id"], limit=1)
     assert df.columns == ["email", "email"]
-    assert [r.row for r in json_rows(df).collect()] == ['["a***@example.com","a***@example.com"]']
+    assert [r.row for r in json_rows(df).collect()] == ['["a***@mail.invalid","a***@mail.invalid"]']
 
 
 def test_join_and_qualified_wildcard(customers, orders):
     joined = customers.join(orders, F.col("c.id") == F.col("o.customer_id"))
     got = rows(guarded_read(joined, [Col("c.email"), Col("o.amount")], order_by=["amount"]))
-    assert got[0] == ("b***@example.org", 5.49)
-    assert rows(guarded_read(joined, [Star("c")], order_by=["o.id"], limit=1))[0][2] == "a***@example.com"
+    assert got[0] == ("b***@post.invalid", 5.49)
+    assert rows(guarded_read(joined, [Star("c")], order_by=["o.id"], limit=1))[0][2] == "a***@mail.invalid"
 
 
 def test_filter_and_order_see_raw_values(customers):
-    picked = customers.filter("email = 'bob@example.org'")
-    assert rows(guarded_read(picked, [Col("email")])) == [("b***@example.org",)]
+    picked = customers.filter("email = 'bob@post.invalid'")
+    assert rows(guarded_read(picked, [Col("email")])) == [("b***@post.invalid",)]
     got = rows(guarded_read(customers, [Col("phone")], order_by=[F.desc("email")], limit=2))
     assert got == [("",), (None,)]
 
@@ -92,7 +92,7 @@ def test_group_by_of_plain_columns_and_having(customers, orders):
     )
     assert rows(got) == [(1,)]
     assert rows(guarded_read(customers, [Col("email")], distinct=True, order_by=["email"]))[0] == (
-        "a***@example.com",
+        "a***@mail.invalid",
     )
 
 
@@ -168,7 +168,7 @@ def test_refusal_starts_no_job(spark, customers):
 def test_custom_mapping_replaces_the_defaults(customers):
     mapping = Mapping([("NAME", vocab.EMAIL), ("id", vocab.PHONE)])
     got = rows(guarded_read(customers, [Col("id"), Col("name"), Col("email")], mapping, order_by=["id"]))
-    assert got[0] == ("***", "***", "ann@example.com")
+    assert got[0] == ("***", "***", "ann@mail.invalid")
 
 
 def test_mapping_collision_is_refused():
@@ -195,9 +195,9 @@ def test_preflight_order():
 
 
 def test_pii_looking_value_in_a_plain_column_is_kept(spark):
-    df = spark.createDataFrame([("ann@example.com", "ann@example.com")], "note string, email string")
+    df = spark.createDataFrame([("ann@mail.invalid", "ann@mail.invalid")], "note string, email string")
     classes = classify_schema(shape_of([Star()]), df.columns)
-    assert rows(mask_table(df, classes)) == [("ann@example.com", "a***@example.com")]
+    assert rows(mask_table(df, classes)) == [("ann@mail.invalid", "a***@mail.invalid")]
 
 
 def test_count_mismatch_classifies_nothing():
@@ -217,3 +217,26 @@ def test_catalog_of_known_tables(spark, customers, orders):
     assert report[("email", "Text")] == (vocab.EMAIL, 1)
     assert report[("id", "Integer")] == (None, 2)
     assert report[("amount", "Float")] == (None, 1)
+
+
+@pytest.mark.parametrize("source", ["`email`", "c.`email`", "`c`.`email`"])
+def test_quoted_names_are_refused(customers, source):
+    with pytest.raises(MaskingRefused):
+        guard(customers, [Col(source, "x")])
+
+
+def test_names_equal_only_by_unicode_case_are_refused(spark):
+    df = spark.createDataFrame([("secret",)], "token string")
+    with pytest.raises((MaskingRefused, QueryFailed)):
+        guard(df, [Col("to\u212aen")], Mapping([("token", vocab.EMAIL)]))
+
+
+def test_having_needs_group_by(customers):
+    with pytest.raises(QueryFailed):
+        guard(customers, [Col("name")], having=F.count("*") > 5)
+
+
+def test_distinct_counts_with_group_by(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2)], "name string, n int")
+    got = guarded_read(df, [Col("name")], group_by=["name", "n"], distinct=True)
+    assert [r.name for r in got.collect()] == ["a"]

@@ -148,3 +148,12 @@ def test_a_hot_statement_is_split(spark, small_skew_limits):
     masked = mask_positional_rows(rows, classify_bulk(facts))
     assert largest_share(masked) < 0.4 and masked.count() == 30000
     assert masked.filter("cells[0] NOT LIKE '_***@example.com'").count() == 0
+
+
+def test_scratch_needs_a_shared_folder_off_the_driver():
+    from tablewarden.session import local_scratch
+
+    assert local_scratch("local") and local_scratch("local[4]")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            local_scratch(master)

@@ -227,3 +227,14 @@ def test_missing_facts_reject_without_ansi_too(spark):
         test_normalized_facts(spark)
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_system_tables_split_at_the_first_dot(spark):
+    from tablewarden.functions.text import any_system_table
+
+    names = {"pg_foo.bar": False, "pg_foo": True, "s.PG_x": True, "s.t.pg_x": False, "Pg_Catalog.x": True, "xpg_y": False,
+             "information_schema.t": True, "information_schema": False}
+    df = spark.createDataFrame([([n], want) for n, want in names.items()], "t array<string>, want boolean")
+    assert df.filter(any_system_table(F.col("t")) != F.col("want")).collect() == []
+    both = spark.createDataFrame([(["pg_foo.bar", "pg_z"],)], "t array<string>")
+    assert both.filter(any_system_table(F.col("t"))).count() == 1

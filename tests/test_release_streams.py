@@ -147,3 +147,32 @@ def test_replayed_stream_batches_add_nothing(spark, tmp_path):
     got = releases.read_all(spark, store)
     assert sorted(r.id for r in got.collect()) == list(range(10))
     assert got.filter("email LIKE 'u***@%'").count() == 10
+
+
+def test_reading_all_releases_never_leaves_one_out(spark, tmp_path):
+    store = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    releases.publish(spark, store, releases.stage(df, store, "plain"))
+    assert releases.read_all(spark, store).count() == 1
+    assert releases.read_release(spark, store, "plain").count() == 1
+    releases.publish(spark, store, releases.stage(df.select("a", "a"), store, "twice"))
+    with pytest.raises(ValueError, match="twice"):
+        releases.read_all(spark, store)
+    with pytest.raises(LookupError):
+        releases.read_release(spark, store, "none")
+
+
+def test_a_failure_of_any_kind_is_refused_and_recorded(spark, tmp_path, monkeypatch):
+    from tablewarden.plans import release
+
+    def broken(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(release.releases, "stage", broken)
+    result = guard(spark.createDataFrame([(1,)], "a int"), [Col("a")])
+    trail = str(tmp_path / "trail")
+    with pytest.raises(InternalFailure):
+        release.release_after_audit(
+            result, str(tmp_path / "s"), trail, release_id="r", request_id=1, timestamp_ms=0
+        )
+    assert [r.value for r in spark.read.text(trail).collect() if "INTERNAL_FAILURE" in r.value]
