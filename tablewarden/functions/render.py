@@ -27,9 +27,16 @@ def neutral_type(data_type: T.DataType) -> str:
 
 
 def as_text(value: Column, data_type: T.DataType) -> Column:
-    """One cell as text; NULL stays NULL and is never the empty text."""
+    """One cell as text; NULL stays NULL and is never the empty text.
+
+    A whole float loses its ``.0``; binary is spelled as ``\\x`` and hex digits.
+    """
     if isinstance(data_type, T.BooleanType):
         return F.when(value, F.lit("t")).when(~value, F.lit("f"))
+    if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
+        return F.regexp_replace(value.cast("string"), r"\.0\z", "")
+    if isinstance(data_type, T.BinaryType):
+        return F.concat(F.lit("\\x"), F.lower(F.hex(value)))
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.to_json(value)
     return value.cast("string")

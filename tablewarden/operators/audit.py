@@ -6,6 +6,9 @@ from the JSON line; a zero is a real value and stays.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +90,9 @@ CLOSED_VOCABULARY = {
 }
 
 
+PII_COUNTS = ["pii_email_columns", "pii_phone_columns", "pii_credit_card_columns"]
+
+
 def table_metadata_state(tables: Column) -> Column:
     """ABSENT (no list), OMITTED (a name or the count is not acceptable) or PRESENT."""
     return (
@@ -98,10 +104,23 @@ def table_metadata_state(tables: Column) -> Column:
 
 
 def contract_violation() -> Column:
-    """Why a row must not become a record of its outcome, NULL when it may."""
+    """Why a row must not become a record of its outcome, NULL when it may.
+
+    Texts must come from the closed vocabularies and counts must be there, so no
+    free text and no incomplete record reaches the trail.
+    """
     outcome = F.coalesce(F.col("outcome"), F.lit(""))
     kind = F.coalesce(F.col("statement_type"), F.lit(""))
     reason = F.coalesce(F.col("reason"), F.lit(""))
+    category = F.coalesce(F.col("category"), F.lit(""))
+    read = (outcome == vocab.SUCCESS) & (kind == "SELECT")
+    write = (outcome == vocab.SUCCESS) & (kind == "INSERT")
+    rejected = outcome == vocab.POLICY_REJECTED
+
+    def lacks(*counts: str) -> Column:
+        missing = [~F.coalesce(F.col(name) >= 0, F.lit(False)) for name in counts]
+        return functools.reduce(operator.or_, missing)
+
     return (
         F.when(~outcome.isin(vocab.OUTCOMES), F.lit("UNKNOWN_OUTCOME"))
         .when(
@@ -110,9 +129,21 @@ def contract_violation() -> Column:
         )
         .when((outcome == vocab.MASKING_REFUSED) & (kind != "SELECT"), F.lit("NEEDS_SELECT"))
         .when(
-            (outcome == vocab.POLICY_REJECTED) & ~reason.isin(vocab.AUDITABLE_REASONS),
+            rejected & ~reason.isin(vocab.AUDITABLE_REASONS),
             F.lit("NEEDS_A_REAL_REASON"),
         )
+        .when(rejected & ~kind.isin(vocab.STATEMENT_TYPES), F.lit("NEEDS_A_LISTED_TYPE"))
+        .when(
+            (outcome == vocab.DATABASE_FAILURE) & ~category.isin(CLOSED_VOCABULARY["category"]),
+            F.lit("NEEDS_A_LISTED_CATEGORY"),
+        )
+        .when(
+            (read & lacks("row_count", "column_count", *PII_COUNTS))
+            | (write & lacks("affected_rows"))
+            | (rejected & lacks("statement_count"))
+            | ((outcome == vocab.MASKING_REFUSED) & lacks("column_count")),
+            F.lit("NEEDS_COUNTS"),
+        )
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewarden import vocab
 from tablewarden.functions.text import ascii_lower, strip_qualifier
+from tablewarden.operators.joins import hashable, spread_join
 from tablewarden.operators.projection import Shape
 
 _ASCII_FOLD = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
@@ -225,16 +226,21 @@ def with_pii_counts(classified: DataFrame) -> DataFrame:
 def lookup_in_table(names: DataFrame, name_column: str, mapping: DataFrame) -> DataFrame:
     """Categories from a mapping *table* (``column_name``, ``category``).
 
-    Catalyst picks the join from the table's measured size. A third of all
-    columns may be called ``id``: the left side is the big one, which adaptive
-    execution splits when its partition is skewed.
+    Names that collide when case is ignored make the job fail: neither category
+    would be right. Catalyst picks the join from the table's measured size. A
+    third of all columns may be called ``id``: beyond a broadcast their rows are
+    spread over copies of the mapping.
     """
-    keyed = mapping.select(
-        ascii_lower(F.col("column_name")).alias("_key"), F.col("category")
+    collision = F.raise_error(F.concat(F.lit("mapping names collide: "), F.col("_key")))
+    keyed = (
+        mapping.filter("column_name IS NOT NULL")
+        .groupBy(ascii_lower(F.col("column_name")).alias("_key"))
+        .agg(F.count("*").alias("_entries"), F.min("category").alias("category"))
+        .select("_key", F.when(F.col("_entries") == 1, F.col("category")).otherwise(collision).alias("category"))
     )
     key = ascii_lower(strip_qualifier(F.col(name_column)))
-    joined = names.withColumn("_name_key", key).join(
-        keyed, F.col("_name_key") == F.col("_key"), "left"
+    joined = spread_join(
+        names.withColumn("_name_key", key), keyed, "_name_key", "_key", hashable(names), "left"
     )
     return joined.withColumn(
         "data_class",

@@ -37,7 +37,8 @@ def spread_join(
     return salted.join(copies, meets, how).drop("_salt", "_copy")
 
 
-def _hashable(df: DataFrame) -> list[str]:
+def hashable(df: DataFrame) -> list[str]:
+    """Columns whose values can be hashed to spread rows."""
     return [
         f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
@@ -46,7 +47,7 @@ def _hashable(df: DataFrame) -> list[str]:
 def _unmatched(keep: DataFrame, keep_key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows of ``keep`` without a partner. Distinct keys are formed before the shuffle."""
     keys = other.select(F.col(other_key).alias("_key")).distinct()
-    return spread_join(keep, keys, keep_key, "_key", _hashable(keep), "left_anti")
+    return spread_join(keep, keys, keep_key, "_key", hashable(keep), "left_anti")
 
 
 def outer_join(

@@ -16,6 +16,9 @@ from tablewarden.operators.sequence import assign_dense_ids
 # Fixed value: column type of an order amount.
 AMOUNT_TYPE = "decimal(10,2)"
 
+# What counts as a number when an amount is given as text: no NaN, no Infinity, no type suffix.
+_NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+
 ACCEPTED = "OK"
 
 
@@ -29,7 +32,8 @@ def shape_reason() -> Column:
     customer = F.col("customer_id").try_cast("bigint")
     as_written = F.col("customer_id").try_cast("double")
     amount = F.col("amount").try_cast("double")
-    good = (customer > 0) & (as_written == customer) & (amount > 0)
+    numeric = F.trim(F.col("amount").cast("string")).rlike(_NUMBER)
+    good = (customer > 0) & (as_written == customer) & (amount > 0) & numeric
     return F.when(~F.coalesce(good, F.lit(False)), F.lit(vocab.REASON_INSERT_SHAPE))
 
 

@@ -33,6 +33,11 @@ def dedupe_tables(tables: Column) -> Column:
     )
 
 
+def listed_type(statement_type: Column) -> Column:
+    """The type where it is in the closed vocabulary, UNKNOWN for everything else and NULL."""
+    return F.when(statement_type.isin(vocab.STATEMENT_TYPES), statement_type).otherwise(F.lit("UNKNOWN"))
+
+
 def normalize_facts(raw: DataFrame) -> DataFrame:
     """Raw parser facts -> one analyzed row per statement.
 
@@ -69,7 +74,7 @@ def normalize_facts(raw: DataFrame) -> DataFrame:
         "status",
         error.alias("error_reason"),
         F.when(F.col("status") == vocab.EMPTY_INPUT, 0).otherwise(found).alias("statement_count"),
-        F.when(ok, only["type"]).otherwise(F.lit("UNKNOWN")).alias("statement_type"),
+        F.when(ok, listed_type(only["type"])).otherwise(F.lit("UNKNOWN")).alias("statement_type"),
         names(dedupe_tables(only["tables"])).alias("tables"),
         names(only["projection_columns"]).alias("projection_columns"),
         flag("has_wildcard_projection"),
@@ -141,9 +146,11 @@ def rejection_reason() -> Column:
 
 
 def policy_decision(facts: DataFrame) -> DataFrame:
-    """Add ``reason`` and ``allowed`` to every statement."""
-    return facts.withColumn("reason", rejection_reason()).withColumn(
-        "allowed", F.col("reason") == vocab.REASON_NONE
+    """Add ``reason`` and ``allowed`` to every statement; an unlisted type becomes UNKNOWN."""
+    return (
+        facts.withColumn("reason", rejection_reason())
+        .withColumn("allowed", F.col("reason") == vocab.REASON_NONE)
+        .withColumn("statement_type", listed_type(F.col("statement_type")))
     )
 
 

@@ -11,6 +11,8 @@ from tablewarden.functions.once import with_computed_once
 
 # Fixed value: accepted content type prefix, case-sensitive.
 JSON_CONTENT_TYPE = "application/json"
+# A leading byte-order mark is no part of the JSON text.
+BYTE_ORDER_MARK = "\\A\ufeff"
 
 
 def triage(requests: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def triage(requests: DataFrame) -> DataFrame:
     then its size in bytes. An empty ``sql`` is accepted here: it is a request,
     and later rejected and audited as one.
     """
-    parsed = requests.withColumn("_body", json_object(F.col("body")))
+    parsed = requests.withColumn("_body", json_object(F.regexp_replace("body", BYTE_ORDER_MARK, "")))
     field = F.try_variant_get(F.col("_body"), "$.sql", "variant")
     typed = parsed.withColumn(
         "_sql", F.when(is_json_text(field), F.try_variant_get(F.col("_body"), "$.sql", "string"))

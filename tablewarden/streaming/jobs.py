@@ -7,6 +7,7 @@ run to its end gives the batch result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewarden.operators.audit import audit_validate
@@ -42,8 +43,14 @@ def stream_policy(stream: DataFrame, path: str, checkpoint: str):
     return _to_files(policy_decision(stream), path, checkpoint)
 
 
-def stream_audit_validate(stream: DataFrame, path: str, checkpoint: str, position: str = "value"):
-    """Violations of a trail as it grows."""
+def stream_audit_validate(stream: DataFrame, path: str, checkpoint: str, position: str | None = None):
+    """Violations of a trail as it grows.
+
+    Without a ``position`` a line is named by its hash: a line that leaked is never copied.
+    """
+    if position is None:
+        position = "line_sha256"
+        stream = stream.withColumn(position, F.sha2("value", 256))
     return _to_files(audit_validate(stream, position), path, checkpoint)
 
 

@@ -72,6 +72,14 @@ ILLEGAL = [
     {"outcome": vocab.POLICY_REJECTED, "statement_type": "SELECT", "reason": "NONE"},
     {"outcome": vocab.POLICY_REJECTED, "statement_type": "SELECT", "reason": "UNPARSEABLE_SQL"},
     {"outcome": vocab.POLICY_REJECTED, "statement_type": "SELECT", "reason": None},
+    {"outcome": vocab.POLICY_REJECTED, "statement_type": "GRANT a TO b", "reason": "DDL_NOT_ALLOWED", "statement_count": 1},
+    {"outcome": vocab.POLICY_REJECTED, "statement_type": None, "reason": "DDL_NOT_ALLOWED", "statement_count": 1},
+    {"outcome": vocab.POLICY_REJECTED, "statement_type": "DROP", "reason": "DDL_NOT_ALLOWED"},
+    {"outcome": vocab.DATABASE_FAILURE, "statement_type": "SELECT", "category": "password=abc"},
+    {"outcome": vocab.DATABASE_FAILURE, "statement_type": "SELECT"},
+    {"outcome": vocab.SUCCESS, "statement_type": "SELECT", "row_count": 1},
+    {"outcome": vocab.SUCCESS, "statement_type": "INSERT"},
+    {"outcome": vocab.MASKING_REFUSED, "statement_type": "SELECT"},
     {"outcome": "OTHER", "statement_type": "SELECT"},
     {"outcome": None, "statement_type": "SELECT"},
 ]

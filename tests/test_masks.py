@@ -107,3 +107,9 @@ def test_render_text_keeps_null_apart_from_empty(spark):
 )
 def test_neutral_types(data_type, expected):
     assert neutral_type(data_type) == expected
+
+
+def test_whole_floats_and_binary_as_text(spark):
+    rows = [(1.0, 2.5, bytearray(b"\xff\x00")), (-3.0, float("inf"), bytearray(b"")), (None, None, None)]
+    got = [tuple(r) for r in render_text(spark.createDataFrame(rows, "a double, b float, c binary")).collect()]
+    assert got == [("1", "2.5", "\\xff00"), ("-3", "Infinity", "\\x"), (None, None, None)]

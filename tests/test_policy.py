@@ -1,5 +1,7 @@
 """Analysis, policy rules in order, outcomes and client codes."""
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tablewarden import vocab
@@ -10,6 +12,7 @@ from tablewarden.functions.text import (
     strip_qualifier,
     utc_timestamp_shape,
 )
+from tablewarden.operators.classify import lookup_in_table
 from tablewarden.operators.policy import (
     RAW_STATEMENT_TYPE,
     normalize_facts,
@@ -238,3 +241,13 @@ def test_system_tables_split_at_the_first_dot(spark):
     assert df.filter(any_system_table(F.col("t")) != F.col("want")).collect() == []
     both = spark.createDataFrame([(["pg_foo.bar", "pg_z"],)], "t array<string>")
     assert both.filter(any_system_table(F.col("t"))).count() == 1
+
+
+def test_colliding_mapping_names_fail(spark):
+    names = spark.createDataFrame([("c.Email",), ("x",), (None,)], "name string")
+    good = spark.createDataFrame([("EMAIL", "PII.Email"), (None, "PII.Phone"), (None, "PII.Email")], "column_name string, category string")
+    found = {r.name: r.category for r in lookup_in_table(names, "name", good).collect()}
+    assert found == {"c.Email": "PII.Email", "x": None, None: None}
+    bad = spark.createDataFrame([("Email", "PII.Email"), ("email", "PII.Phone")], "column_name string, category string")
+    with pytest.raises(PySparkException, match="mapping names collide"):
+        lookup_in_table(names, "name", bad).collect()

@@ -38,6 +38,8 @@ REQUESTS = [
     (JSON, '{"sql":"' + "x" * 65536 + '"}', None),
     (JSON, '{"sql":""}', None),
     (JSON, ' {"x":1,"sql":"SELECT 1"} ', None),
+    (JSON, '\ufeff{"sql":"SELECT 1"}', None),
+    (JSON, '{\ufeff"sql":"SELECT 1"}', "invalid_json"),
     (JSON + "; charset=utf-8", '{"sql":"SELECT 1"}', None),
 ]
 
@@ -103,6 +105,8 @@ def test_orders_are_validated_and_appended(spark, tmp_path):
 
 def test_text_candidates_must_be_numeric(spark):
     rows = [("1", "5.5", "OK"), ("1.5", "5", "UNSUPPORTED_INSERT_SHAPE"), ("x", "5", "UNSUPPORTED_INSERT_SHAPE"), ("1", "y", "UNSUPPORTED_INSERT_SHAPE")]
+    rows += [("1", text, "UNSUPPORTED_INSERT_SHAPE") for text in ("NaN", "Infinity", "inf", "5d", "")]
+    rows += [("1", "5e400", "EXECUTION_FAILURE"), ("1", "+5.", "OK"), ("1", "5e1", "OK")]
     df = spark.createDataFrame([r[:2] for r in rows], "customer_id string, amount string")
     got = orders.validate_shape_and_type(df)
     assert sorted((r.customer_id, r.amount, r.status) for r in got.collect()) == sorted(rows)
