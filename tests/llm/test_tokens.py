@@ -1,6 +1,9 @@
 """Token files, packing, BPE and chat: exact round trips and the tokenizers themselves."""
 
 import hashlib
+import pathlib
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -119,3 +122,13 @@ def test_chat(spark):
     got = chat.read_back(chat.format_conversations(df, path), path).collect()
     assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
     assert chat.read_back(chat.format_conversations(df.limit(0), path), path).count() == 0
+
+
+def test_modules_import_the_arrow_functions_they_use():
+    # A Python worker of a cluster starts with one module; nothing else has imported pyarrow.compute there.
+    folder = pathlib.Path(encode.__file__).parent
+    users = [p.stem for p in sorted(folder.glob("*.py")) if "pa.compute" in p.read_text()]
+    assert "chat" in users
+    for name in users:
+        code = f"import pyarrow as pa, tablewarden.llm.{name}; pa.compute"
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=folder.parents[1])
