@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import (
     bpe,
+    centroids,
     chat,
     exact_dedup,
     jaccard_join,
+    merkle,
     neighbours,
     packing,
+    perplexity,
     quality,
     secrets,
     substring_dedup,
     token_file,
 )
+from tablewarden.llm.oracle import ORACLE_SQL  # noqa: F401  the entry file reads it here
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +94,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(found)
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.verdicts(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
@@ -101,15 +120,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
-}
-
-ORACLE_SQL = {
-    "op2_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm
-                   FROM documents)
-        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept,
-               sha256(norm) AS text_sha256
-        FROM t WINDOW w AS (PARTITION BY norm)
-    """,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
