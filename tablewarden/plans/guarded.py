@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden import vocab
 from tablewarden.operators.classify import Classification, Mapping, classify_schema, fold
 from tablewarden.operators.masking import mask_table
 from tablewarden.operators.projection import Col, Computed, CountStar, Entry, Star, shape_of
+from tablewarden.plans.lineage import Origin, origins, tables_of
 from tablewarden.refusals import MaskingRefused, PolicyRejected, QueryFailed
 
 # Catalog schemas and prefix no guarded read may touch.
@@ -95,6 +97,40 @@ def _spelled_otherwise(relation: DataFrame, spec: Sequence[Entry]) -> bool:
     return any(fold(e.source.rsplit(".", 1)[-1]) not in known for e in spec if isinstance(e, Col))
 
 
+def _field_names(kind: T.DataType) -> Iterator[str]:
+    """Names of all fields inside a nested type."""
+    match kind:
+        case T.StructType(fields=fields):
+            for f in fields:
+                yield f.name
+                yield from _field_names(f.dataType)
+        case T.ArrayType(elementType=inner):
+            yield from _field_names(inner)
+        case T.MapType(keyType=key, valueType=value):
+            yield from _field_names(key)
+            yield from _field_names(value)
+
+
+def _derived(
+    relation: DataFrame, spec: Sequence[Entry], names: Sequence[str], mapping: Mapping
+) -> bool:
+    """Whether some selected column must not be judged by its name.
+
+    That is one that no table column gives unchanged, one whose table column is of another category
+    than its name says, and one with a nested field of a category.
+    """
+    chosen = relation.select(*[_expression(Col(e.source) if isinstance(e, Col) else e) for e in spec])
+
+    def hidden(name: str, kind: T.DataType, found: frozenset[Origin] | None) -> bool:
+        if found is None or any(mapping.category_of(n) for n in _field_names(kind)):
+            return True
+        parts = {mapping.category_of(part) for origin in found for part in origin.path}
+        return bool(parts - {None, mapping.category_of(name)})
+
+    kinds = [f.dataType for f in chosen.schema.fields]
+    return any(map(hidden, names, kinds, origins(chosen)))
+
+
 def guard(
     relation: DataFrame,
     spec: Iterable[Entry],
@@ -109,9 +145,11 @@ def guard(
 ) -> GuardedResult:
     """Mask the result of a projection over ``relation``, or refuse.
 
-    ``relation`` is base tables put together with filters and joins; it must
-    keep their column names, because a renamed column cannot be told from a
-    harmless one. ``tables`` names the base tables for policy and audit.
+    ``relation`` is base tables put together with filters, joins and unions. Every
+    selected column is followed down the analysed plan to a table's column; one
+    that was computed on the way, that hides a PII column under another name or
+    that nests one is refused. The tables' names are read off the plan, for
+    policy and audit; ``tables`` adds names that the plan does not show.
 
     Refusals come from metadata only and no job has started by then:
     ``PolicyRejected``, then ``QueryFailed`` when Spark cannot resolve the query,
@@ -119,6 +157,8 @@ def guard(
     """
     spec = list(spec)
     shape = shape_of(spec, grouped=group_by is not None)
+    mapping = mapping or Mapping()
+    tables = list(dict.fromkeys([*tables, *tables_of(relation)]))
     if any(_is_system_table(t) for t in tables):
         raise PolicyRejected(vocab.REASON_SYSTEM_TABLE)
     if having is not None and group_by is None:
@@ -133,7 +173,10 @@ def guard(
     if _spelled_otherwise(relation, spec):
         raise MaskingRefused(vocab.UNATTRIBUTED_COLUMN, len(names))
     classes = classify_schema(shape, names, mapping)
-    return GuardedResult(mask_table(raw, classes), classes, list(tables))
+    plain = [e.source.rsplit(".", 1)[-1] for e in spec if isinstance(e, Col)]
+    if (shape.positional or shape.wildcard_only) and _derived(relation, spec, plain or names, mapping):
+        raise MaskingRefused(vocab.UNATTRIBUTED_COLUMN, len(names))
+    return GuardedResult(mask_table(raw, classes), classes, tables)
 
 
 def guarded_read(

@@ -22,6 +22,7 @@ from tablewarden.operators.policy import batch_outcome_report, normalize_facts,
 from tablewarden.operators.projection import Col, CountStar, Star, with_projection_facts
 from tablewarden.operators.sequence import assign_dense_ids
 from tablewarden.plans.guarded import guard, guarded_read
+from tablewarden.plans.lineage import as_table
 from tablewarden.plans.release import outcome_record, release_after_audit
 from tablewarden.plans.settle import audit_records, settle
 from tablewarden.session import scratch_path, tune
@@ -698,7 +699,7 @@ def q_request_exclude_malformed(spark, sf):
 
 def q_stream_mask(spark, sf):
     path, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
-    stream = derived.derive(stream_table(spark, sf, "customer"), derived.CONTACTS)
+    stream = as_table(derived.derive(stream_table(spark, sf, "customer"), derived.CONTACTS), "customers")
     jobs.stream_mask(stream, [Star()], path, checkpoint).awaitTermination()
     return spark.read.parquet(path)
 
@@ -715,7 +716,7 @@ def q_stream_triage_policy(spark, sf):
 
 def q_stream_release_after_audit(spark, sf):
     store, trail = scratch_path(spark, "store"), scratch_path(spark, "trail")
-    stream = derived.derive(stream_table(spark, sf, "customer"), derived.CONTACTS)
+    stream = as_table(derived.derive(stream_table(spark, sf, "customer"), derived.CONTACTS), "customers")
 
     def record_of(batch_id, entry, classes):
         return outcome_record(

@@ -14,6 +14,7 @@ from tablewarden import vocab
 from tablewarden.functions.text import text_array
 from tablewarden.operators.policy import RAW_STATEMENT_TYPE
 from tablewarden.operators.projection import ENTRY_TYPE
+from tablewarden.plans.lineage import as_table
 from tablewarden.sources.tables import scan_table
 
 CONTACTS = {
@@ -153,15 +154,15 @@ def derive(table: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(scan_table(spark, sf, "customer"), CONTACTS)
+    return as_table(derive(scan_table(spark, sf, "customer"), CONTACTS), "customers")
 
 
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(scan_table(spark, sf, "orders"), PURCHASES)
+    return as_table(derive(scan_table(spark, sf, "orders"), PURCHASES), "orders")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return derive(scan_table(spark, sf, "orders"), CANDIDATES)
+    return as_table(derive(scan_table(spark, sf, "orders"), CANDIDATES), "order_requests")
 
 
 def mapping_candidates(spark: SparkSession, sf: str) -> DataFrame:
