@@ -23,7 +23,7 @@ from tablewarden.operators.projection import Col, CountStar, Star, with_projecti
 from tablewarden.operators.sequence import assign_dense_ids
 from tablewarden.plans.guarded import guard, guarded_read
 from tablewarden.plans.lineage import as_table
-from tablewarden.plans.release import outcome_record, release_after_audit
+from tablewarden.plans.release import release_after_audit
 from tablewarden.plans.settle import audit_records, settle
 from tablewarden.session import scratch_path, tune
 from tablewarden.sources import derived, releases
@@ -718,23 +718,8 @@ def q_stream_release_after_audit(spark, sf):
     store, trail = scratch_path(spark, "store"), scratch_path(spark, "trail")
     stream = as_table(derived.derive(stream_table(spark, sf, "customer"), derived.CONTACTS), "customers")
 
-    def record_of(batch_id, entry, classes):
-        return outcome_record(
-            spark,
-            request_id=batch_id + 1,
-            timestamp_ms=1785664800000,
-            outcome=vocab.SUCCESS,
-            statement_type="SELECT",
-            row_count=entry["row_count"],
-            column_count=entry["column_count"],
-            pii_email_columns=classes.count_of(vocab.EMAIL),
-            pii_phone_columns=classes.count_of(vocab.PHONE),
-            pii_credit_card_columns=classes.count_of(vocab.CREDIT_CARD),
-            tables=["customers"],
-        )
-
     jobs.stream_release_after_audit(
-        stream, [Star()], record_of, store, trail, scratch_path(spark, "checkpoint")
+        stream, [Star()], store, trail, scratch_path(spark, "checkpoint"), timestamp_ms=lambda _: 1785664800000
     ).awaitTermination()
     return releases.read_all(spark, store)
 

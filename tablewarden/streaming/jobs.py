@@ -6,6 +6,8 @@ run to its end gives the batch result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,8 +16,9 @@ from tablewarden.operators.audit import audit_validate
 from tablewarden.operators.policy import policy_decision
 from tablewarden.operators.triage import triage
 from tablewarden.plans.guarded import guard, guarded_read
-from tablewarden.sources import releases
-from tablewarden.sources.trail import append_audit
+from tablewarden.plans.lineage import tables_of
+from tablewarden.plans.release import guarded_release, line_key, settled_line
+from tablewarden.refusals import InternalFailure, MaskingRefused, PolicyRejected, QueryFailed
 
 
 def _to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -55,22 +58,39 @@ def stream_audit_validate(stream: DataFrame, path: str, checkpoint: str, positio
 
 
 def stream_release_after_audit(
-    stream: DataFrame, spec, record_of, store: str, audit_path: str, checkpoint: str, mapping=None
-):
+    stream: DataFrame,
+    spec,
+    store: str,
+    audit_path: str,
+    checkpoint: str,
+    *,
+    timestamp_ms: Callable[[int], int],
+    first_request: int = 1,
+    mapping=None,
+    tables: Sequence[str] = (),
+) -> StreamingQuery:
     """Per micro-batch: stage the masked rows, store the audit record, publish.
 
-    ``record_of(batch_id, entry, classes)`` builds the audit record. Data folder,
-    record and manifest entry are all keyed by batch id, so a replayed batch
-    replaces its own record and entry instead of adding a second one.
+    A batch is a request of its own, numbered from ``first_request``; its data folder, audit line and log
+    entries are keyed by that number, so a replayed batch adds nothing. A batch that is refused or
+    fails leaves its record, and the stream goes on with the next one. ``timestamp_ms(batch_id)`` is the
+    time of the record.
     """
-    guard(stream, spec, mapping)
+    guard(stream, spec, mapping, tables=tables)
 
     def release(batch: DataFrame, batch_id: int) -> None:
-        result = guard(batch, spec, mapping)
-        entry = releases.stage(result.frame, store, f"batch-{batch_id}")
-        record = record_of(batch_id, entry, result.classes)
-        append_audit(record, f"{audit_path}/batch-{batch_id}", mode="overwrite")
-        releases.publish(batch.sparkSession, store, entry)
+        request = {"request_id": first_request + batch_id, "timestamp_ms": timestamp_ms(batch_id)}
+        # The plan of a batch is cut off from the stream's: its tables are those named here.
+        names = list(dict.fromkeys([*tables, *tables_of(stream)]))
+        try:
+            guarded_release(
+                batch, spec, store, audit_path, release_id=f"batch-{batch_id}", mapping=mapping, tables=names, **request
+            )
+        except (PolicyRejected, QueryFailed, MaskingRefused):
+            return  # recorded
+        except InternalFailure:
+            if settled_line(batch.sparkSession, audit_path, line_key(request["request_id"])) is None:
+                raise  # nothing could be recorded: the batch has to run again
 
     return (
         stream.writeStream.foreachBatch(release)
