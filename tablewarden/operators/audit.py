@@ -147,16 +147,34 @@ def contract_violation() -> Column:
     )
 
 
+# The first and last millisecond that a record's time can spell, years 0000 to 9999.
+FIRST_MS, LAST_MS = -62_167_219_200_000, 253_402_300_799_999
+
+
+def recordable() -> Column:
+    """True for a row that has what every line needs: an id and a time that it can spell."""
+    known = (F.col("request_id") >= 0) & F.col("timestamp_ms").between(FIRST_MS, LAST_MS)
+    return F.coalesce(known, F.lit(False))
+
+
+def audit_unrecordable(outcomes: DataFrame) -> DataFrame:
+    """The rows that ``audit_build`` makes no record of; their sender has to be found and mended."""
+    return outcomes.filter(~recordable())
+
+
 def audit_build(outcomes: DataFrame) -> DataFrame:
     """Request outcomes -> flat audit records.
 
+    A row without a usable id or time has no record, since no valid line could
+    hold it: ``audit_unrecordable`` returns those rows.
+
     Reads ``request_id``, ``timestamp_ms``, ``outcome``, ``statement_type``,
     ``statement_count``, ``reason``, ``category``, ``row_count``,
     ``column_count``, ``affected_rows``, the three ``pii_*`` counts and
     ``tables``. A row that breaks the contract of its outcome is recorded as an
     internal failure, which carries the envelope only.
     """
-    settled = outcomes.withColumn(
+    settled = outcomes.filter(recordable()).withColumn(
         "_outcome",
         F.when(contract_violation().isNotNull(), F.lit(vocab.INTERNAL_FAILURE)).otherwise(
             F.col("outcome")
@@ -238,7 +256,7 @@ def expected_keys(outcome: Column, statement_type: Column) -> Column:
     return chain.otherwise(keys)
 
 
-def _line_pattern() -> str:
+def line_pattern() -> str:
     """A pattern for lines spelled just as ``audit_lines`` writes them.
 
     Such a line is valid by construction: one alternative per record shape, with
@@ -293,7 +311,7 @@ def with_line_violations(lines: DataFrame) -> DataFrame:
     Lines spelled as the writer spells them are known to be valid; only others
     are parsed and checked field by field.
     """
-    typed = lines.withColumn("_as_written", F.col("value").rlike(_line_pattern())).withColumn(
+    typed = lines.withColumn("_as_written", F.col("value").rlike(line_pattern())).withColumn(
         "_fields",
         F.when(
             ~F.col("_as_written"),

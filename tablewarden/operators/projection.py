@@ -108,6 +108,60 @@ def is_count_star(entry: Column) -> Column:
     return F.coalesce(call & plain & (entry["arguments"] == F.array(F.lit("*"))), F.lit(False))
 
 
+# The aggregate functions that a select list may call.
+AGGREGATES = ["count", "min", "max", "sum", "avg"]
+
+
+def _function(entry: Column) -> Column:
+    """The folded name of a function called without a window, NULL for any other entry."""
+    plain = ~F.coalesce(entry["is_windowed"], F.lit(False))
+    return F.when((entry["kind"] == KIND_FUNCTION) & plain, ascii_lower(entry["name"]))
+
+
+def is_aggregate(entry: Column, names: list[str] = AGGREGATES) -> Column:
+    return F.coalesce(_function(entry).isin(names), F.lit(False))
+
+
+def is_count_variant(entry: Column) -> Column:
+    """A ``COUNT`` other than the canonical one."""
+    return is_aggregate(entry, ["count"]) & ~is_count_star(entry)
+
+
+def is_windowed(entry: Column) -> Column:
+    return F.coalesce(entry["is_windowed"], F.lit(False))
+
+
+def reads_a_row(entry: Column) -> Column:
+    """A column, a star or a window call: an entry that has a value per row."""
+    return F.coalesce(entry["kind"].isin(KIND_COLUMN, KIND_STAR), F.lit(False)) | is_windowed(entry)
+
+
+def with_list_refusal(statements: DataFrame, entries: str = "entries") -> DataFrame:
+    """Add ``refusal``: what becomes of a select list, judged by its entries alone; NULL if it may be released.
+
+    ``QUERY_FAILED`` where, without grouping, an aggregate stands beside a value per row: no engine runs
+    that. Otherwise ``MASKING_REFUSED`` for what cannot be attributed: any computed entry, a count beside
+    anything else, a count of groups, and an empty list.
+    """
+    items = F.col(entries)
+    grouped = F.coalesce("has_group_by", F.lit(True))
+    mixed = ~grouped & F.exists(items, lambda e: is_aggregate(e)) & F.exists(items, reads_a_row)
+    plain = F.coalesce(
+        F.forall(items, lambda e: F.coalesce(e["kind"].isin(KIND_COLUMN, KIND_STAR), F.lit(False)) & ~is_windowed(e)),
+        F.lit(False),
+    )
+    stars = F.exists(items, lambda e: F.coalesce(e["kind"] == KIND_STAR, F.lit(False)))
+    columns = F.exists(items, lambda e: F.coalesce(e["kind"] == KIND_COLUMN, F.lit(False)))
+    listed = (F.size(items) > 0) & plain & ~(stars & columns)
+    counted = (F.size(items) > 0) & ~grouped & F.coalesce(F.forall(items, is_count_star), F.lit(False))
+    return statements.withColumn(
+        "refusal",
+        F.when(F.coalesce(mixed, F.lit(False)), F.lit("QUERY_FAILED")).when(
+            ~F.coalesce(listed | counted, F.lit(False)), F.lit("MASKING_REFUSED")
+        ),
+    )
+
+
 def with_projection_facts(statements: DataFrame, entries: str = "entries") -> DataFrame:
     """Add the projection facts of every statement; narrow, no shuffle."""
     items = F.col(entries)

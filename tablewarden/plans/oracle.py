@@ -237,11 +237,11 @@ FROM order_checks WHERE row_status = 'OK' AND known""",
         + " END AS label, (event_id // 16) % 3 = 0 AS paired, event_id % 7 = 0 AS has_group_by FROM events",
         [],
     ),
-    "entry_classes": (
-        """SELECT *, CASE WHEN label = 'email' AND NOT paired THEN 'Pii'
- WHEN label = '*' AND NOT paired THEN 'Pii'
- WHEN label = 'COUNT(*)' AND NOT has_group_by THEN 'NotClassifiedAsPii' ELSE 'Unattributed' END AS data_class
-FROM entries""",
+    "refusals": (
+        """SELECT *, CASE WHEN NOT has_group_by AND ((paired AND (label IN ('email', '*') OR windowed)))
+  THEN 'QUERY_FAILED' WHEN label IN ('email', '*') AND NOT paired THEN NULL
+  WHEN label = 'COUNT(*)' AND NOT has_group_by THEN NULL ELSE 'MASKING_REFUSED' END AS refusal
+FROM (SELECT *, label LIKE '% OVER ()' AS windowed FROM entries)""",
         ["entries"],
     ),
     "result_types": (
@@ -294,7 +294,7 @@ _REFUSED = (
     " WHERE reason = 'NONE' AND statement_type = 'SELECT' AND attribution IS NULL"
     " AND len(result_columns) > 0 AND "
 )
-_ENTRY_CLASSES = "SELECT statement_id, label, paired, has_group_by, data_class FROM entry_classes WHERE "
+_REFUSED_LISTS = "SELECT statement_id, has_group_by, refusal FROM refusals WHERE refusal IS NOT NULL AND "
 
 
 def _outer(how: str) -> str:
@@ -369,7 +369,6 @@ def _norm(column: str, default: str) -> str:
 
 
 def oracle_texts() -> dict[str, str]:
-    canaries = ", ".join("'" + c.replace("'", "''") + "'" for c in registry.CANARIES)
     masked = "SELECT id, name, email, phone, credit_card FROM masked"
     lines = _line_checks()
     numbered = _with(
@@ -483,13 +482,13 @@ FROM (SELECT statement_id, column_name, {_category("regexp_replace(column_name,
             "decided",
         ),
         "refuse_count_variants": _with(
-            _ENTRY_CLASSES + "upper(label) LIKE 'COUNT(%' AND label <> 'COUNT(*) OVER ()'", "entry_classes"
+            _REFUSED_LISTS + "label IN ('count(1)', 'COUNT(NULL)', 'COUNT(email)', 'COUNT(DISTINCT email)')", "refusals"
         ),
-        "refuse_window_projection": _with(_ENTRY_CLASSES + "label LIKE '% OVER ()'", "entry_classes"),
+        "refuse_window_projection": _with(_REFUSED_LISTS + "windowed", "refusals"),
         "refuse_value_aggregates": _with(
-            _ENTRY_CLASSES + "label[1:4] IN ('MIN(', 'MAX(', 'SUM(', 'AVG(')", "entry_classes"
+            _REFUSED_LISTS + "label[1:4] IN ('MIN(', 'MAX(', 'SUM(', 'AVG(')", "refusals"
         ),
-        "refuse_mixed_count": _with(_ENTRY_CLASSES + "paired AND label IN ('email', '*')", "entry_classes"),
+        "refuse_mixed_count": _with(_REFUSED_LISTS + "paired AND (label IN ('email', '*') OR windowed)", "refusals"),
         "result_counts": "SELECT count(*) AS row_count, CAST(2 AS INTEGER) AS column_count"
         " FROM customer JOIN orders ON c_custkey = o_custkey",
         "affected_rows": _with("SELECT count(*) AS affected_rows FROM accepted", "accepted"),
@@ -520,6 +519,17 @@ p AS (SELECT *, lag(request_id) OVER (ORDER BY position) AS prev_request_id,
  lag(timestamp) OVER (ORDER BY position) AS prev_timestamp FROM r)
 SELECT position, request_id, prev_request_id, 'REQUEST_ID_NOT_RISING' AS violation FROM p WHERE request_id <= prev_request_id
 UNION ALL SELECT position, request_id, prev_request_id, 'TIME_FALLS' FROM p WHERE timestamp < prev_timestamp""",
+        "trail_order_check": _with(
+            f"""SELECT append, request_id, prev_request_id, unnest(list_filter([
+  CASE WHEN request_id <= prev_request_id THEN 'REQUEST_ID_NOT_RISING' END,
+  CASE WHEN t < prev_t THEN 'TIME_FALLS' END], lambda v: v IS NOT NULL)) AS violation FROM (
+ SELECT *, lag(request_id) OVER w AS prev_request_id, lag(t) OVER w AS prev_t FROM (
+  SELECT append, event_id + 1 AS request_id, epoch_ms(ts) AS t FROM events, (SELECT unnest([0, 1])::BIGINT AS append)
+  WHERE {registry.LATE_APPEND.replace(":late", "append = 1").replace("request_id", "(event_id + 1)")})
+ WINDOW w AS (ORDER BY append, request_id))
+UNION ALL SELECT NULL, event_id + 1, NULL, 'DUPLICATE_REQUEST_ID' FROM events
+ WHERE (event_id + 1) % 3 <> 0 AND (event_id + 1) % 53 = 0"""
+        ),
         "dedupe_tables": _with(
             f"SELECT statement_id, {_norm(chr(39) * 2 + ' || CASE WHEN t1 = t2 THEN t1 ELSE concat(t1, ' + chr(39) + ',' + chr(39) + ', t2) END', chr(39) * 2)} AS tables FROM normalized",
             "normalized",
@@ -607,8 +617,8 @@ FROM contacts c JOIN purchases o ON c.id = o.customer_id""",
         "audit_table_metadata": _with("SELECT statement_id, table_state FROM table_state", "table_state"),
         "audit_validate": _with(f"SELECT position, violation FROM ({lines})", "bad_lines"),
         "audit_leak_scan": _with(
-            f"SELECT position, canary FROM leaky_lines, (SELECT unnest([{canaries}]) AS canary)"
-            " WHERE contains(value, canary)",
+            f"SELECT position, canary FROM leaky_lines JOIN (SELECT DISTINCT {registry.CANARY} AS canary"
+            " FROM customer) ON contains(value, canary)",
             "leaky_lines",
         ),
         "audit_completeness": f"""SELECT request_id, requests, records FROM (

@@ -19,8 +19,19 @@ from tablewarden.operators.classify import (
 )
 from tablewarden.operators.masking import mask_positional_rows, positional_refusals
 from tablewarden.operators.policy import batch_outcome_report, normalize_facts, policy_decision
-from tablewarden.operators.projection import Col, CountStar, Star, with_projection_facts
+from tablewarden.operators.projection import (
+    Col,
+    CountStar,
+    Star,
+    is_aggregate,
+    is_count_star,
+    is_count_variant,
+    is_windowed,
+    reads_a_row,
+    with_list_refusal,
+)
 from tablewarden.operators.sequence import assign_dense_ids
+from tablewarden.operators.trail import audit_leak_join, trail_entries, trail_order
 from tablewarden.plans.guarded import guard, guarded_read
 from tablewarden.plans.lineage import as_table
 from tablewarden.plans.release import release_after_audit
@@ -45,16 +56,18 @@ LINE_DEFECTS = """CASE request_id % 19
     WHEN 8 THEN concat(value, ' rest')
     ELSE value END"""
 
-# A statement text that leaked into some lines, and what must never be found.
+# Values of rows that leaked into some lines, by the hash of their key, and the hashes to look for.
 LINE_LEAKS = """CASE WHEN request_id % 101 = 0
-    THEN concat('{"note":"FROM contacts PICK phone FOR ''tw-marker-5521@mail.invalid''",', substr(value, 2))
-    ELSE value END"""
-CANARIES = ["tw-marker-5521", "@mail.invalid", "PICK", "FROM contacts", "'"]
+    THEN concat('{"note":"', md5(CAST(request_id % 2000 AS STRING)), '",', substr(value, 2)) ELSE value END"""
+CANARY = "md5(CAST(c_custkey AS STRING))"
 
 # Trail order and coverage defects.
 DISORDERED_ID = "CASE WHEN request_id % 71 = 0 THEN request_id - 5 ELSE request_id END"
 COPIES = "CASE WHEN request_id % 53 = 0 THEN 0 WHEN request_id % 59 = 0 THEN 2 ELSE 1 END"
 
+# Which lines go into the first and the second append of a trail.
+LATE_APPEND = "CASE WHEN :late THEN request_id % 3 = 0 OR request_id % 53 = 0 ELSE request_id % 3 <> 0 END"
+
 CUSTOM_MAPPING = [("NAME", vocab.EMAIL), ("Amount", vocab.CREDIT_CARD), ("contact", vocab.PHONE)]
 
 
@@ -123,20 +136,8 @@ def q_audit_jsonl_sink(spark, sf):
 def q_audit_jsonl_source(spark, sf):
     path = scratch_path(spark, "trail")
     _lines(spark, sf, LINE_DEFECTS).select("value").write.text(path)
-    lines = read_trail(spark, path).select("value")
-    good = audit.parse_trail(lines).select(
-        F.lit("record").alias("kind"), "outcome", "statement_type"
-    )
-    bad = audit.trail_rejects(lines).select(
-        F.lit("reject").alias("kind"),
-        F.lit(None).cast("string").alias("outcome"),
-        F.lit(None).cast("string").alias("statement_type"),
-    )
-    return (
-        good.unionByName(bad)
-        .groupBy("kind", "outcome", "statement_type")
-        .agg(F.count("*").alias("n_lines"))
-    )
+    entries = trail_entries(read_trail(spark, path).select("value"))
+    return entries.groupBy("kind", "outcome", "statement_type").agg(F.count("*").alias("n_lines"))
 
 
 def q_request_source(spark, sf):
@@ -339,49 +340,31 @@ def q_refuse_unsupported_features(spark, sf):
     )
 
 
-def _shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """Classified select lists, grouped by every seventh statement."""
-    statements = derived.projection_entries(spark, sf).select(
-        "statement_id",
-        "label",
-        "paired",
-        "entries",
-        F.lit(vocab.OK).alias("status"),
-        F.lit("SELECT").alias("statement_type"),
-        (F.col("statement_id") % 7 == 0).alias("has_group_by"),
-        F.transform("entries", lambda e: F.lit("email")).alias("result_columns"),
-    )
-    return classify_bulk(with_projection_facts(statements))
-
-
-def _shape_classes(shapes: DataFrame) -> DataFrame:
-    return shapes.select(
-        "statement_id",
-        "label",
-        "paired",
-        "has_group_by",
-        F.col("column_classes")[0]["data_class"].alias("data_class"),
+def _refused_lists(spark: SparkSession, sf: str, *kinds) -> DataFrame:
+    """Refused select lists that have an entry of each kind; every seventh statement is grouped."""
+    lists = derived.projection_entries(spark, sf).select(
+        "statement_id", "entries", (F.col("statement_id") % 7 == 0).alias("has_group_by")
     )
+    for kind in kinds:
+        lists = lists.filter(F.exists("entries", kind))
+    judged = with_list_refusal(lists)
+    return judged.filter("refusal IS NOT NULL").select("statement_id", "has_group_by", "refusal")
 
 
 def q_refuse_count_variants(spark, sf):
-    return _shape_classes(
-        _shapes(spark, sf).filter("upper(label) LIKE 'COUNT(%' AND label <> 'COUNT(*) OVER ()'")
-    )
+    return _refused_lists(spark, sf, is_count_variant)
 
 
 def q_refuse_window_projection(spark, sf):
-    return _shape_classes(_shapes(spark, sf).filter("label LIKE '% OVER ()'"))
+    return _refused_lists(spark, sf, is_windowed)
 
 
 def q_refuse_value_aggregates(spark, sf):
-    return _shape_classes(
-        _shapes(spark, sf).filter("substr(label, 1, 4) IN ('MIN(', 'MAX(', 'SUM(', 'AVG(')")
-    )
+    return _refused_lists(spark, sf, lambda e: is_aggregate(e, ["min", "max", "sum", "avg"]))
 
 
 def q_refuse_mixed_count(spark, sf):
-    return _shape_classes(_shapes(spark, sf).filter("paired AND label IN ('email', '*')"))
+    return _refused_lists(spark, sf, is_count_star, reads_a_row)
 
 
 # Aggregates of governance
@@ -447,6 +430,14 @@ def q_audit_order_check(spark, sf):
     return audit.audit_order_check(records)
 
 
+def q_trail_order_check(spark, sf):
+    """Two appends whose ids interleave, with some lines in both."""
+    path, records = scratch_path(spark, "trail"), _audit_records(spark, sf)
+    append_audit(records.filter(LATE_APPEND.replace(":late", "false")), path)
+    append_audit(records.filter(LATE_APPEND.replace(":late", "true")), path)
+    return trail_order(read_trail(spark, path)).select("append", "request_id", "prev_request_id", "violation")
+
+
 def q_dedupe_tables(spark, sf):
     return normalize_facts(derived.raw_facts(spark, sf)).select(
         "statement_id", F.array_join("tables", ",").alias("tables")
@@ -647,7 +638,8 @@ def q_audit_validate(spark, sf):
 
 
 def q_audit_leak_scan(spark, sf):
-    return audit.audit_leak_scan(_lines(spark, sf, LINE_LEAKS), CANARIES)
+    canaries = scan_table(spark, sf, "customer").select(F.expr(CANARY).alias("canary"))
+    return audit_leak_join(_lines(spark, sf, LINE_LEAKS), canaries)
 
 
 def q_audit_completeness(spark, sf):
