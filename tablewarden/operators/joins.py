@@ -44,28 +44,69 @@ def hashable(df: DataFrame) -> list[str]:
     ]
 
 
-def _unmatched(keep: DataFrame, keep_key: str, other: DataFrame, other_key: str) -> DataFrame:
-    """Rows of ``keep`` without a partner. Distinct keys are formed before the shuffle."""
-    keys = other.select(F.col(other_key).alias("_key")).distinct()
-    return spread_join(keep, keys, keep_key, "_key", hashable(keep), "left_anti")
+# Heavy keys looked for on a side of an outer join, and items the sketch tracks for that.
+HEAVY_KEYS, TRACKED = 256, 2048
+# Salts per task that a heavy key needs: several, so that they fall evenly on the tasks.
+SALTS_PER_TASK = 4
+
+
+def heavy_keys(df: DataFrame, key: str) -> dict:
+    """Keys that hold more than a task's share of the rows, each with how many salts it needs.
+
+    One pass over the key column with a frequent-items sketch; what comes back has at most
+    ``HEAVY_KEYS`` entries. The None entry stands for rows without a key.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = df.agg(
+        F.expr(f"approx_top_k(`{key}`, {HEAVY_KEYS}, {TRACKED})").alias("top"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(key).isNull()).alias("without"),
+    ).first()
+    counts = {item["item"]: item["count"] for item in seen["top"] or [] if item["item"] is not None}
+    counts[None] = seen["without"]
+    return {k: -(-SALTS_PER_TASK * n * tasks // seen["rows"]) for k, n in counts.items() if n * tasks > seen["rows"]}
+
+
+def _salted(df: DataFrame, key: str, copied: dict, dealt: dict, names: tuple[str, str]) -> DataFrame:
+    """Rows with a salt: copied to every salt of a key heavy on the other side, dealt over those of a key
+    heavy on this one; ``names`` are the salt and the flag of copies."""
+    salt, flag = names
+    schema = T.StructType([T.StructField("_heavy", df.schema[key].dataType), T.StructField("_copies", T.IntegerType()),
+                           T.StructField("_deals", T.IntegerType())])
+    keys = [k for k in {**copied, **dealt} if k is not None]
+    table = df.sparkSession.createDataFrame([(k, copied.get(k), dealt.get(k)) for k in keys], schema)
+    spread = F.pmod(F.xxhash64(*hashable(df)), F.coalesce("_deals", F.lit(dealt.get(None, 1)))).cast("int")
+    marked = df.join(F.broadcast(table), F.col(key) == F.col("_heavy"), "left")  # at most 2 x HEAVY_KEYS rows
+    one = F.when(F.col("_deals").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0))
+    salts = F.when(F.col("_copies").isNotNull(), F.sequence(F.lit(0), F.col("_copies") - 1)).otherwise(F.array(one))
+    return marked.select(*df.columns, F.col("_copies").isNotNull().alias(flag), F.explode(salts).alias(salt))
 
 
 def outer_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str
 ) -> DataFrame:
-    """``left``, ``right`` or ``full`` join; all column names must differ."""
+    """``left``, ``right`` or ``full`` join; all column names must differ.
+
+    Spark cannot split the optional side of an outer join, nor either side of a full one. The heavy keys
+    of such a side are found by a sketch; their rows are dealt over several tasks and the other side's rows of these keys are
+    copied to each. A copy that meets nothing is dropped, since its key has rows elsewhere. Everything
+    else is one plain outer join.
+    """
     if how not in ("left", "right", "full"):
         raise ValueError(f"not an outer join: {how}")
-    joined = left.join(right, F.col(left_key) == F.col(right_key))
-    if how in ("left", "full"):
-        joined = joined.unionByName(
-            _unmatched(left, left_key, right, right_key), allowMissingColumns=True
-        )
-    if how in ("right", "full"):
-        joined = joined.unionByName(
-            _unmatched(right, right_key, left, left_key), allowMissingColumns=True
-        )
-    return joined
+    on_right = heavy_keys(right, right_key) if how in ("left", "full") else {}
+    on_left = heavy_keys(left, left_key) if how in ("right", "full") else {}
+    on_left = {k: n for k, n in on_left.items() if k is None or k not in on_right}
+    if not on_right and not on_left:
+        return left.join(right, F.col(left_key) == F.col(right_key), how)
+    to_right = {k: n for k, n in on_right.items() if k is not None}
+    to_left = {k: n for k, n in on_left.items() if k is not None}
+    a = _salted(left, left_key, to_right, on_left, ("_left_salt", "_left_copy")).withColumn("_left", F.lit(True))
+    b = _salted(right, right_key, to_left, on_right, ("_right_salt", "_right_copy")).withColumn("_right", F.lit(True))
+    meets = (F.col(left_key) == F.col(right_key)) & (F.col("_left_salt") == F.col("_right_salt"))
+    alone = (F.col("_right").isNull() & F.col("_left_copy")) | (F.col("_left").isNull() & F.col("_right_copy"))
+    joined = a.join(b, meets, how).filter(~F.coalesce(alone, F.lit(False)))
+    return joined.select(*left.columns, *right.columns)
 
 
 def count_matches(

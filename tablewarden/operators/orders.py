@@ -6,12 +6,16 @@ the others; rejects keep their reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import vocab
 from tablewarden.operators.joins import spread_join
-from tablewarden.operators.sequence import assign_dense_ids
+from tablewarden.operators.sequence import sorted_runs
+from tablewarden.sources.commit_log import create_numbered, create_once, newest_records, read_record, remove_folder
 
 # Fixed value: column type of an order amount.
 AMOUNT_TYPE = "decimal(10,2)"
@@ -85,22 +89,56 @@ def order_rejects(validated: DataFrame) -> DataFrame:
 
 
 def append_orders(
-    validated: DataFrame, existing: DataFrame, path: str, created_at: Column | None = None
+    validated: DataFrame,
+    existing: DataFrame,
+    path: str,
+    created_at: Column | None = None,
+    batch: str | None = None,
 ) -> int:
     """Append the accepted rows with fresh ids; returns the number of rows written.
 
-    Ids continue after the highest existing one, in candidate order. Rejects are
-    not written. The count is observed during the write itself.
+    Ids are in candidate order and continue after the last range of the ledger under ``path``; only
+    while that is empty is the highest id of ``existing`` looked up. A batch reserves its range before it
+    writes, and its rows have a folder of their own. So a batch of the same name that runs again, after a
+    crash or twice, takes the same ids and replaces its own rows; with another number of accepted
+    rows it is refused. Rejects are not written. Read the table with ``read_orders``.
     """
     spark = validated.sparkSession
-    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    batch = batch or uuid.uuid4().hex
     moment = created_at if created_at is not None else F.current_timestamp().cast("timestamp_ntz")
-    numbered = assign_dense_ids(accepted_orders(validated), ["candidate_id"], "id", base=highest)
-    written = Observation()
-    (
-        numbered.select("id", "customer_id", "amount", moment.alias("created_at"))
-        .observe(written, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
-        .parquet(path)
-    )
-    return written.get["rows"]
+    rows, runs = sorted_runs(accepted_orders(validated), ["candidate_id"])
+    held = reserve_ids(spark, path, batch, rows.count(), existing)
+    numbered = rows.select((F.col("_place") + held["first"]).alias("id"), "customer_id", "amount", moment.alias("created_at"))
+    numbered.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+    remove_folder(spark, runs)
+    return held["count"]
+
+
+def reserve_ids(spark: SparkSession, path: str, batch: str, count: int, existing: DataFrame) -> dict:
+    """The ledger's record of a batch: its ``first`` id and their ``count``, taken now or before."""
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
+    ledger, mark = f"{path}/_ledger", f"{path}/_batches/{batch}.json"
+    held = read_record(spark, mark)
+    while held is None:
+        last = next(newest_records(spark, ledger), None)
+        if last is None:
+            highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+            last = {"number": -1, "first": highest + 1, "count": 0}
+        if last.get("batch") == batch:  # reserved before a crash, not yet marked
+            held = last
+        else:
+            record = {"batch": batch, "first": last["first"] + last["count"], "count": count}
+            if create_numbered(spark, ledger, last["number"] + 1, record):
+                held = record
+        if held is not None:
+            create_once(spark, mark, {"batch": batch, "first": held["first"], "count": held["count"]})
+            held = read_record(spark, mark)
+    if held["count"] != count:
+        raise ValueError(f"batch {batch} had {held['count']} accepted rows when it took its ids, now {count}")
+    return held
+
+
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(path)

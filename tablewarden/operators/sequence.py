@@ -12,16 +12,13 @@ from tablewarden.session import scratch_path
 CHUNK_BITS = 16
 
 
-def assign_dense_ids(
-    df: DataFrame, order_by: list[str], id_column: str, base: Column | int = 0
-) -> DataFrame:
-    """Add ``id_column`` = base + 1, 2, 3, ... in the given total order.
+def sorted_runs(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, str]:
+    """``df`` range-partitioned, sorted and written once, with ``_place`` from 0 in the total order.
 
-    The rows are range-partitioned and sorted once and written to the shared
-    folder, so every later step sees the same runs even after an executor is
-    lost. Only one count per run is ordered globally, and there are no more runs
-    than shuffle partitions. ``order_by`` must end in a unique column; that also
-    spreads rows that arrived at the same moment over many runs.
+    Also returns the folder of the runs, for callers that know when it is no longer read. Every later
+    step sees the same runs even after an executor is lost. Only one count per run is ordered
+    globally, and there are no more runs than shuffle partitions. ``order_by`` must end in a unique
+    column; that also spreads rows that arrived at the same moment over many runs.
     """
     spark = df.sparkSession
     runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -39,12 +36,17 @@ def assign_dense_ids(
         "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
     in_run = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.join(F.broadcast(offsets), "_run").withColumn("_place", (F.col("_offset") + in_run).cast("bigint"))
+    return placed.drop("_row", "_run", "_offset"), path
+
+
+def assign_dense_ids(
+    df: DataFrame, order_by: list[str], id_column: str, base: Column | int = 0
+) -> DataFrame:
+    """Add ``id_column`` = base + 1, 2, 3, ... in the given total order, by ``sorted_runs``."""
+    rows, _ = sorted_runs(df, order_by)
     start = base if isinstance(base, Column) else F.lit(base)
-    return (
-        rows.join(F.broadcast(offsets), "_run")
-        .withColumn(id_column, (start + F.col("_offset") + in_run + 1).cast("bigint"))
-        .drop("_row", "_run", "_offset")
-    )
+    return rows.withColumn(id_column, (start + F.col("_place") + 1).cast("bigint")).drop("_place")
 
 
 def neighbours_in_order(df: DataFrame, position: str, columns: list[str]) -> DataFrame:

@@ -152,12 +152,12 @@ def _appended_orders(spark: SparkSession, sf: str) -> tuple[int, str]:
     path = scratch_path(spark, "orders")
     validated = orders.validate_orders(derived.candidates(spark, sf), derived.contacts(spark, sf))
     moment = F.lit("2026-01-02 03:04:05").cast("timestamp_ntz")
-    return orders.append_orders(validated, derived.purchases(spark, sf), path, moment), path
+    return orders.append_orders(validated, derived.purchases(spark, sf), path, moment, "first"), path
 
 
 def q_orders_sink(spark, sf):
     _, path = _appended_orders(spark, sf)
-    written = spark.read.parquet(path)
+    written = orders.read_orders(spark, path)
     return written.select("customer_id", "amount", F.col("created_at").cast("string"))
 
 
@@ -669,7 +669,7 @@ def q_order_batch_fk(spark, sf):
 
 def q_order_append(spark, sf):
     _, path = _appended_orders(spark, sf)
-    return spark.read.parquet(path).select("id", "customer_id", "amount")
+    return orders.read_orders(spark, path).select("id", "customer_id", "amount")
 
 
 # Triage

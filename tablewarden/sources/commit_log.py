@@ -87,10 +87,15 @@ def last_number(spark: SparkSession, folder: str) -> int:
     return -1
 
 
+def create_numbered(spark: SparkSession, folder: str, number: int, record: dict) -> bool:
+    """Write ``record`` under that number; False if it is taken."""
+    return create_once(spark, _numbered(folder, number), {**record, "number": number})
+
+
 def append_record(spark: SparkSession, folder: str, record: dict) -> int:
     """Write ``record`` under the next free number of ``folder``."""
     number = last_number(spark, folder) + 1
-    while not create_once(spark, _numbered(folder, number), {**record, "number": number}):
+    while not create_numbered(spark, folder, number, record):
         number += 1
     return number
 
@@ -102,3 +107,9 @@ def newest_records(spark: SparkSession, folder: str):
             record = read_record(spark, f"{folder}/{part}/{name}")
             if record is not None:
                 yield record
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder of the caller's own that nothing reads any more."""
+    target, fs = _path(spark, path)
+    fs.delete(target, True)

@@ -2,11 +2,14 @@
 
 import decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewarden.functions.json import is_json_object
 from tablewarden.operators import orders
 from tablewarden.operators.triage import accepted_requests, transport_rejects, triage
+from tablewarden.session import scratch_root
+from tablewarden.sources import commit_log
 from tablewarden.sources.requests import read_requests, write_requests
 
 JSON = "application/json"
@@ -94,7 +97,7 @@ def test_orders_are_validated_and_appended(spark, tmp_path):
     path = str(tmp_path / "orders")
     existing = spark.createDataFrame([(41,)], "id bigint")
     assert orders.append_orders(checked, existing, path) == 3
-    written = spark.read.parquet(path).orderBy("id").collect()
+    written = orders.read_orders(spark, path).orderBy("id").collect()
     assert [(r.id, r.customer_id, r.amount) for r in written] == [
         (42, 1, decimal.Decimal("5.00")),
         (43, 1, decimal.Decimal("0.00")),
@@ -110,3 +113,46 @@ def test_text_candidates_must_be_numeric(spark):
     df = spark.createDataFrame([r[:2] for r in rows], "customer_id string, amount string")
     got = orders.validate_shape_and_type(df)
     assert sorted((r.customer_id, r.amount, r.status) for r in got.collect()) == sorted(rows)
+
+
+def batch_of(spark, *ids):
+    return orders.validate_orders(
+        spark.createDataFrame([(i, 1, 1.0 * i) for i in ids], "id bigint, customer_id bigint, amount double").repartition(3),
+        spark.createDataFrame([(1,)], "id bigint"),
+    )
+
+
+def test_a_batch_that_runs_twice_is_there_once(spark, tmp_path):
+    path, scratch = str(tmp_path / "orders"), f"{scratch_root(spark)}/tablewarden"
+    before = set(commit_log.names(spark, scratch))
+    existing = spark.createDataFrame([(100,)], "id bigint")
+    nothing = existing.filter(F.raise_error(F.lit("the table is not read again")).isNull())
+    assert orders.append_orders(batch_of(spark, 5, 3, 4), existing, path, batch="a") == 3
+    assert orders.append_orders(batch_of(spark, 9), nothing, path, batch="b") == 1
+    assert orders.append_orders(batch_of(spark, 4, 5, 3), nothing, path, batch="a") == 3
+    assert orders.append_orders(batch_of(spark), nothing, path, batch="none") == 0
+    assert orders.append_orders(batch_of(spark, 1), nothing, path, batch="c") == 1
+    found = [(r.id, int(r.amount)) for r in orders.read_orders(spark, path).orderBy("id").collect()]
+    assert found == [(101, 3), (102, 4), (103, 5), (104, 9), (105, 1)]
+    with pytest.raises(ValueError, match="3 accepted rows"):
+        orders.append_orders(batch_of(spark, 5, 3), nothing, path, batch="a")
+    with pytest.raises(ValueError, match="batch name"):
+        orders.append_orders(batch_of(spark, 5), nothing, path, batch="../a")
+    left = set(commit_log.names(spark, scratch)) - before
+    assert len([name for name in left if name.startswith("runs-")]) <= 2  # only those of the refused batches
+
+
+@pytest.mark.parametrize("broken", ["create_once", "remove_folder"])
+def test_a_crashed_batch_keeps_its_ids(spark, tmp_path, monkeypatch, broken):
+    path, existing = str(tmp_path / "orders"), spark.createDataFrame([(7,)], "id bigint")
+    real = getattr(orders, broken)
+
+    def dying(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(orders, broken, dying)
+    with pytest.raises(KeyboardInterrupt):
+        orders.append_orders(batch_of(spark, 1, 2), existing, path, batch="a")
+    monkeypatch.setattr(orders, broken, real)
+    assert orders.append_orders(batch_of(spark, 1, 2), existing, path, batch="a") == 2
+    assert [r.id for r in orders.read_orders(spark, path).orderBy("id").collect()] == [8, 9]
