@@ -59,3 +59,10 @@ def never_unchanged(df: DataFrame, mapping: Mapping | None = None) -> DataFrame:
             F.count_if(F.col("value") == F.col("masked")).alias("unchanged"),
         )
     )
+
+
+def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, nulls`` of the columns that must not hold NULL and do; one pass, one row per task."""
+    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in columns])
+    return counted.select(F.explode(listed).alias("_c")).select("_c.*").filter("nulls > 0")

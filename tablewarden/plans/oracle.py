@@ -419,7 +419,7 @@ def oracle_texts() -> dict[str, str]:
         ),
         "filter": _with(
             "SELECT m.id, m.email, m.phone FROM masked m JOIN contacts c USING (id)"
-            " WHERE c.email LIKE 'a@%' OR c.phone = '12345' OR c.id IN (7, 8, 9)",
+            " WHERE c.email LIKE 'a@%' OR c.phone = '77-31' OR c.id IN (7, 8, 9)",
             "masked",
         ),
         "zero_row_result": _with(masked + " WHERE id < 0", "masked"),
@@ -494,7 +494,23 @@ FROM (SELECT statement_id, column_name, {_category("regexp_replace(column_name,
         "affected_rows": _with("SELECT count(*) AS affected_rows FROM accepted", "accepted"),
         "pii_summary": _with("SELECT * FROM pii_counts", "pii_counts"),
         "audit_outcome_summary": _with(
-            "SELECT outcome, count(*) AS records FROM settled GROUP BY outcome", "settled"
+            """SELECT kind, outcome, count(*) AS records FROM (
+ SELECT CASE WHEN doc IS NULL THEN 'reject' ELSE 'record' END AS kind, json_extract_string(doc, '$.outcome') AS outcome
+ FROM (SELECT TRY_CAST(value AS JSON) AS doc FROM (SELECT value FROM lines UNION ALL SELECT value FROM bad_lines)))
+GROUP BY ALL""",
+            "lines",
+            "bad_lines",
+        ),
+        "null_check_customers": _with(
+            "SELECT c.column_name, c.nulls FROM (SELECT unnest([{'column_name': 'id', 'nulls': count(*) - count(id)},"
+            " {'column_name': 'name', 'nulls': count(*) - count(name)}]) AS c FROM contacts) WHERE c.nulls > 0",
+            "contacts",
+        ),
+        "null_check_orders": _with(
+            "SELECT c.column_name, c.nulls FROM (SELECT unnest([{'column_name': 'id', 'nulls': count(*) - count(id)},"
+            " {'column_name': 'customer_id', 'nulls': count(*) - count(customer_id)},"
+            " {'column_name': 'amount', 'nulls': count(*) - count(amount)}]) AS c FROM candidates) WHERE c.nulls > 0",
+            "candidates",
         ),
         "mapping_collision_check": _with(
             "SELECT lower(column_name) AS mapping_key, count(*) AS entries FROM mapping_candidates"

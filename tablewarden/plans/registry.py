@@ -40,7 +40,8 @@ from tablewarden.session import scratch_path, tune
 from tablewarden.sources import derived, releases
 from tablewarden.sources.requests import read_requests, write_requests
 from tablewarden.sources.tables import scan_table, stream_table
-from tablewarden.sources.trail import append_audit, read_trail, stream_trail
+from tablewarden.sources.trail import append_audit, append_lines, read_trail, stream_trail
+from tablewarden.sources.trail_summary import outcome_summary
 from tablewarden.streaming import jobs
 
 # Defects put into audit lines, so the validator has something to find.
@@ -186,7 +187,7 @@ def q_masked_duplicate_columns(spark, sf):
 
 def q_filter(spark, sf):
     raw = _customers(spark, sf).filter(
-        "c.email LIKE 'a@%' OR c.phone = '12345' OR c.id IN (7, 8, 9)"
+        "c.email LIKE 'a@%' OR c.phone = '77-31' OR c.id IN (7, 8, 9)"
     )
     return guarded_read(raw, [Col("id"), Col("email"), Col("phone")])
 
@@ -393,7 +394,22 @@ def q_pii_summary(spark, sf):
 
 
 def q_audit_outcome_summary(spark, sf):
-    return audit.audit_outcome_summary(_audit_records(spark, sf))
+    """A trail with broken lines that grows: the second summary reads the second append only."""
+    path = scratch_path(spark, "trail")
+    append_audit(_audit_records(spark, sf).filter("request_id % 2 = 0"), path)
+    outcome_summary(spark, path)
+    append_audit(_audit_records(spark, sf).filter("request_id % 2 = 1"), path)
+    broken = _lines(spark, sf, LINE_DEFECTS).select("value")
+    append_lines(broken, path)
+    return outcome_summary(spark, path)
+
+
+def q_null_check_customers(spark, sf):
+    return integrity.null_violations(derived.contacts(spark, sf), ["id", "name"])
+
+
+def q_null_check_orders(spark, sf):
+    return integrity.null_violations(derived.candidates(spark, sf), ["id", "customer_id", "amount"])
 
 
 def q_mapping_collision_check(spark, sf):

@@ -20,11 +20,11 @@ from tablewarden.sources.tables import scan_table
 CONTACTS = {
     "id": "c_custkey",
     "name": "c_name",
-    "email": """CASE c_custkey % 11 WHEN 0 THEN 'not-an-email' WHEN 1 THEN ''
+    "email": """CASE c_custkey % 11 WHEN 0 THEN 'mail at home' WHEN 1 THEN ''
         WHEN 2 THEN concat('a@', CAST(c_custkey AS STRING), '@example.com')
         WHEN 3 THEN concat('ñ', CAST(c_custkey AS STRING), '@example.com') WHEN 4 THEN NULL
         ELSE concat(lower(c_mktsegment), '.', CAST(c_custkey AS STRING), '@example.com') END""",
-    "phone": """CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '12345'
+    "phone": """CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '77-31'
         WHEN 3 THEN concat('+1 (555) ', lpad(CAST(c_custkey AS STRING), 7, '0'))
         ELSE concat('05', lpad(CAST(c_custkey AS STRING), 8, '0')) END""",
     "credit_card": """CASE c_custkey % 5 WHEN 0 THEN NULL

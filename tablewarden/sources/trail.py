@@ -16,14 +16,14 @@ from tablewarden.sources.commit_log import append_record, create_once, exists, l
 APPENDS, KEYS = "_appends", "_keys"
 
 
-def _folder(path: str, number: int) -> str:
+def append_folder(path: str, number: int) -> str:
     return f"{path}/append-{number:012d}"
 
 
 def keyed_append(spark: SparkSession, path: str, key: str) -> str | None:
     """The folder of the append with that key, if it is complete."""
     known = read_record(spark, f"{path}/{KEYS}/{key}.json")
-    folder = known and _folder(path, known["append"])
+    folder = known and append_folder(path, known["append"])
     return folder if folder and exists(spark, f"{folder}/_SUCCESS") else None
 
 
@@ -46,7 +46,13 @@ def append_audit(records: DataFrame, path: str, key: str | None = None) -> None:
             known = read_record(spark, f"{path}/{KEYS}/{key}.json")
         number = known["append"]
     ordered = audit_lines(records).orderBy("request_id")
-    ordered.select("value").write.mode("overwrite").text(_folder(path, number))
+    ordered.select("value").write.mode("overwrite").text(append_folder(path, number))
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Append lines that come from elsewhere, as they are."""
+    number = append_record(lines.sparkSession, f"{path}/{APPENDS}", {})
+    lines.select("value").write.text(append_folder(path, number))
 
 
 def appends(spark: SparkSession, path: str) -> int:

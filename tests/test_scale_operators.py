@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablewarden.operators import integrity
 from tablewarden.operators import joins, sequence
 from tablewarden.operators.integrity import orphans, unique_violations
 from tablewarden.session import scratch_path
@@ -69,3 +70,11 @@ def test_no_hot_group_reaches_one_task_whole(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("k"))
     plan = unique_violations(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
+
+
+def test_nulls_are_counted_per_column(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "a", None), (None, "b", "c")], "a int, b string, c string")
+    got = sorted(map(tuple, integrity.null_violations(df, ["a", "b"]).collect()))
+    assert got == [("a", 1), ("b", 1)]
+    assert integrity.null_violations(df.limit(0), ["a", "c"]).count() == 0
+    assert integrity.null_violations(df.filter("a = 2"), ["a", "b"]).count() == 0

@@ -11,7 +11,9 @@ from tablewarden.operators import audit
 from tablewarden.operators.projection import ENTRY_TYPE, with_list_refusal
 from tablewarden.operators.trail import audit_leak_join, trail_entries, trail_order
 from tablewarden.plans.release import OUTCOME_SCHEMA
-from tablewarden.sources.trail import append_audit, read_trail
+from tablewarden.sources import trail_summary
+from tablewarden.sources.commit_log import append_record
+from tablewarden.sources.trail import APPENDS, append_audit, append_folder, append_lines, read_trail
 
 
 def records(spark, pairs):
@@ -156,6 +158,27 @@ def test_nothing_incomplete_becomes_a_line(spark):
     assert left_out.filter("request_id >= 0 AND timestamp_ms BETWEEN 0 AND 9").count() == 0
 
 
+def test_a_summary_reads_new_appends_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    summary = lambda: sorted(map(tuple, trail_summary.outcome_summary(spark, path).collect()), key=str)
+    assert summary() == []
+    append_audit(records(spark, [(1, 1), (2, 2)]), path)
+    assert summary() == [("record", vocab.PARSING_FAILURE, 2)]
+    open_number = append_record(spark, f"{path}/{APPENDS}", {})  # an append that has not written yet
+    append_audit(records(spark, [(3, 3)]), path)
+    append_lines(spark.createDataFrame([("{bad",), ('{"outcome":"SUCCESS"}',)], "value string"), path)
+    assert trail_summary.refresh(spark, path) == 2 and trail_summary.refresh(spark, path) == 0
+    expected = [("record", vocab.PARSING_FAILURE, 3), ("record", vocab.SUCCESS, 1), ("reject", None, 1)]
+    assert summary() == expected
+    # What is summarized is not read again.
+    spark.createDataFrame([("x",)], "value string").write.mode("overwrite").text(append_folder(path, 0))
+    assert summary() == expected
+    records_line = audit.audit_lines(records(spark, [(4, 4)])).select("value")
+    records_line.write.text(append_folder(path, open_number))
+    assert trail_summary.refresh(spark, path) == 1
+    assert summary()[0] == ("record", vocab.PARSING_FAILURE, 4)
+
+
 C, S, N = ("COLUMN", "email"), ("STAR", None), ("FUNCTION", "Count", ["*"])
 LISTS = [
     ([C], False, None), ([S], True, None), ([C, C], True, None), ([C, S], False, "MASKING_REFUSED"),
