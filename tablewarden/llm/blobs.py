@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.store import keep
+from tablewarden.llm.store import keep, lean
 
 SLICE_BYTES = 4 << 20
 
@@ -49,10 +49,15 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def numbered_texts(docs: DataFrame, label: str) -> DataFrame:
-    """``row, doc_id, blob`` of all rows, written once. ``row`` also tells repeated doc_ids apart."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, blob`` of all rows. ``row`` also tells repeated doc_ids apart."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return keep(texts.mapInArrow(_numbered, "row bigint, doc_id bigint, blob binary"), label)
+    return texts.mapInArrow(lambda batches: lean(_numbered(batches)), "row bigint, doc_id bigint, blob binary")
+
+
+def numbered_texts(docs: DataFrame, label: str) -> DataFrame:
+    """``numbered``, written once, so that rows keep their numbers."""
+    return keep(numbered(docs), label)
 
 
 def text_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.blobs import numbered_texts, text_slices
+from tablewarden.llm.blobs import numbered, text_slices
 from tablewarden.llm.components import components
-from tablewarden.llm.store import keep
+from tablewarden.llm.store import keep, keep_bucketed, lean
 from tablewarden.llm.words import Words, mix, numbers
+from tablewarden.operators.joins import spread_join
 
 BAND_RATIO = 1.3
 HUBS = 4
@@ -230,8 +231,9 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     of their n-grams, classes by 128 bits of all of them.
     """
     bands = Bands(percent)
-    texts = numbered_texts(docs, "jaccard-texts")
-    profiles = keep(texts.mapInArrow(lambda b: _profiles(b, n), PROFILE), "jaccard-profiles")
+    # Texts are dealt by row once; every join with them below finds them in place.
+    texts = keep_bucketed(numbered(docs), "row", "jaccard-texts", dealt=True)
+    profiles = keep(texts.mapInArrow(lambda b: lean(_profiles(b, n)), PROFILE), "jaccard-profiles")
     classes = keep(
         profiles.filter("n > 0").groupBy("n", "a", "b").agg(F.min("row").alias("cid")), "jaccard-classes"
     )
@@ -240,29 +242,28 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         texts.select("row", "blob")
         .join(alone, F.col("row") == F.col("cid"))
         .select("cid", "blob")
-        .mapInArrow(lambda b: _pieces(b, n, bands), "key bigint, cid bigint")
+        .mapInArrow(lambda b: lean(_pieces(b, n, bands)), "key bigint, cid bigint")
     )
     in_bucket = Window.partitionBy("key")
     shared = keep(pieces.withColumn("m", F.count(F.lit(1)).over(in_bucket)).filter("m > 1"), "jaccard-buckets")
 
-    met = shared.groupBy("cid").agg(F.sum("m").alias("popular"))
+    # Hubs are chosen by numbers alone; sketches join the different pairs afterwards.
     sketches = profiles.select(F.col("row").alias("cid"), "n", "sketch")
-    members = shared.join(met.join(sketches, "cid"), "cid").select(
-        "key", "m", F.struct("cid", "n", "sketch").alias("x"), "popular"
-    )
+    members = shared.withColumn("popular", F.sum("m").over(Window.partitionBy("cid")))
     # Half of the buckets take their most-met sets as hubs, the others any.
-    order = F.when(F.col("key") % 2 == 0, -F.col("popular")).otherwise(F.xxhash64("key", "x.cid"))
-    ranked = Window.partitionBy("key").orderBy(order, "x.cid")
+    order = F.when(F.col("key") % 2 == 0, -F.col("popular")).otherwise(F.xxhash64("key", "cid"))
+    ranked = Window.partitionBy("key").orderBy(order, "cid")
     whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hubs = [F.nth_value("x", i + 1).over(whole).alias(f"hub{i}") for i in range(HUBS)]
-    tried = (
-        members.select("x", *hubs)
-        .select("x", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub"))
-        .filter(F.col("hub").isNotNull() & (F.col("hub.cid") != F.col("x.cid")))
-        .filter(_possible("x", "hub", bands))
-        .select(F.least("x.cid", "hub.cid").alias("a"), F.greatest("x.cid", "hub.cid").alias("b"))
+    hubs = F.array(*[F.nth_value("cid", i + 1).over(whole) for i in range(HUBS)])
+    pairs = (
+        members.select("cid", hubs.alias("hubs"))
+        .select("cid", F.explode("hubs").alias("hub"))
+        .filter(F.col("hub").isNotNull() & (F.col("hub") != F.col("cid")))
+        .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
         .distinct()
     )
+    sides = [sketches.select(F.col("cid").alias(c), F.struct("n", "sketch").alias("x" + c)) for c in ("a", "b")]
+    tried = pairs.join(sides[0], "a").join(sides[1], "b").filter(_possible("xa", "xb", bands)).select("a", "b")
     tried = keep(tried, "jaccard-pairs")
     links = keep(_verify(tried, texts, n, percent), "jaccard-links")
     roots = components(links)
@@ -278,8 +279,8 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     rows = profiles.select("row", "doc_id", "text_md5", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     rows = rows.select("row", "doc_id", "text_md5", "n", F.coalesce("root", "row").alias("root"))
     rows = keep(rows, "jaccard-rows")
-    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(smallest, "root").select(
+    smallest = rows.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
+    return spread_join(rows, smallest, "root", "_root", ["row"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "row", "root", "text_md5"
     )
 
@@ -290,7 +291,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     two = texts.select(F.col("row").alias("b"), F.col("blob").alias("other"))
     return (
         pairs.join(one, "a").join(two, "b").select("a", "b", "blob", "other")
-        .mapInArrow(lambda batches: _verified(batches, n, percent), "a bigint, b bigint")
+        .mapInArrow(lambda batches: lean(_verified(batches, n, percent)), "a bigint, b bigint")
     )
 
 
