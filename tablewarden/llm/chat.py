@@ -44,7 +44,7 @@ TURNS = "conv_id bigint, turn bigint, ids binary, text_at bigint, text_ids bigin
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Each turn alone: mark, role, mark, text, mark."""
-    coder = encoder(path)
+    coder = encoder(path, spell_special=True)
     base = coder.tokenizer.get_vocab_size()
     opens, says, ends = (np.array([base + i], "<u4").tobytes() for i in range(len(MARKS)))
 
@@ -131,7 +131,7 @@ class _Reader:
 
 
 def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    reader = _Reader(encoder(path))
+    reader = _Reader(encoder(path, spell_special=True))
     state: dict = {}
 
     def closed() -> pa.RecordBatch:

@@ -12,11 +12,15 @@ import json
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 300_000
+from tablewarden.llm.store import lean
+
+CACHED_WORDS = 150_000
 MISSES_BEFORE_CLEARING = 10 * CACHED_WORDS
 
 # The pre-token patterns of the two tokenizer files, for Latin-1 letters.
@@ -58,14 +62,18 @@ class _Words(dict):
 class TextEncoder:
     """Encodes texts like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Special tokens spelled out in a text are ordinary text.
+    Special tokens spelled out in a text get their ids, as in the library; with ``spell_special`` they
+    are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spell_special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
         form = json.loads(self.tokenizer.to_str())
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        # How added tokens start, in either case: a text with one of these goes the library's way.
+        added = [] if spell_special else [t["content"][:2] for t in form["added_tokens"]]
+        self.marks = sorted({m for start in added for m in (start.lower(), start.upper())})
         splitter = form["pre_tokenizer"] or {}
         self.lowers = splitter.get("type") == "Sequence" and form["normalizer"] is not None
         by_bytes = splitter.get("type") == "ByteLevel" and form["normalizer"] is None
@@ -100,6 +108,8 @@ class TextEncoder:
         """Ids as little-endian numbers of type ``dtype``."""
         if not text:
             return b""
+        if any(mark in text for mark in self.marks):
+            return self.whole(text)
         if self.known and _PLAIN.fullmatch(text):
             tokens = self.tokens.findall(text.lower() if self.lowers else text)
             return b"".join(map(self.ids_of_word, tokens))
@@ -108,11 +118,25 @@ class TextEncoder:
         return b"".join(map(self.ids_of_word, self.words.findall(text)))
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+    def forget(self) -> None:
+        """Let the words in memory go."""
+        self.ids_of_word.__self__.clear()
+
+
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, spell_special: bool = False) -> TextEncoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = (path, spell_special)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, spell_special)
+    return _ENCODERS[key]
+
+
+def encoding(batches: Iterator[pa.RecordBatch], coder: TextEncoder) -> Iterator[pa.RecordBatch]:
+    """Pass a task's batches on; words in memory and freed memory do not outlive the task."""
+    try:
+        yield from lean(batches)
+    finally:
+        coder.forget()

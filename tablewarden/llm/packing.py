@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.encode import encoder
-from tablewarden.llm.store import keep, partition_offsets
+from tablewarden.llm.encode import encoder, encoding
+from tablewarden.llm.store import keep, lean, partition_offsets
 
 WINDOW = 1024
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 
 ENCODED = "part int, start bigint, doc_id bigint, tokens bigint, ids binary"
 PIECES = (
@@ -99,12 +99,12 @@ def pack_documents(
     encoded = keep(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-        ).mapInArrow(lambda batches: _encoded(batches, tokenizer_path, end_id), ENCODED),
+        ).mapInArrow(lambda batches: encoding(_encoded(batches, tokenizer_path, end_id), encoder(tokenizer_path)), ENCODED),
         "packing-ids",
     )
     kind = encoder(tokenizer_path).dtype
     offsets = F.broadcast(partition_offsets(encoded, "part", "tokens"))
-    return encoded.join(offsets, "part").mapInArrow(lambda batches: _cut(batches, window, kind), PIECES)
+    return encoded.join(offsets, "part").mapInArrow(lambda batches: lean(_cut(batches, window, kind)), PIECES)
 
 
 def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.encode import encoder
-from tablewarden.llm.store import partition_offsets
+from tablewarden.llm.encode import encoder, encoding
+from tablewarden.llm.store import ROW_GROUP_BYTES, lean, partition_offsets
 from tablewarden.session import scratch_path
 
 BLOCK = 256
@@ -151,14 +151,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(lambda batches: _chunks(batches, tokenizer_path, end_id), CHUNKS)
-        .write.parquet(folder)
+        .mapInArrow(lambda batches: encoding(_chunks(batches, tokenizer_path, end_id), encoder(tokenizer_path)), CHUNKS)
+        .write.option("parquet.block.size", ROW_GROUP_BYTES)
+        .parquet(folder)
     )
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             ids = unpack(row["payload"])
             sizes = np.array(row["sizes"], np.int64)
             ends = np.cumsum(sizes)
@@ -179,7 +181,7 @@ def read_digests(spark, folder: str) -> DataFrame:
     chunks = spark.read.schema(CHUNKS).parquet(folder)
     offsets = F.broadcast(partition_offsets(chunks, "part", "tokens"))
     return chunks.join(offsets, "part").mapInArrow(
-        _digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+        lambda batches: lean(_digests(batches)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
 

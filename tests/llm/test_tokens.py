@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from tablewarden.llm import bpe, chat, encode, packing, token_file
 
 ODD = ["it's  a\tb\n\n x   y <|endoftext|> İΣ ﬁ ²", None, "", "  ", "\n\n\na", "don't 'S It'S 12a ÷×ª €", "a \n", "a\n b  c",
@@ -21,9 +23,17 @@ SCHEMA = "doc_id long, text string, row string, ids string"
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_words_give_the_tokenizers_ids(name):
-    coder = encode.TextEncoder(public_tokenizers.path(name))
-    for text in ODD[:1] + ODD[2:]:
-        assert coder.encode(text) == (coder.whole(text) if text else b"")
+    path = public_tokenizers.path(name)
+    coder, plain = encode.TextEncoder(path), Tokenizer.from_file(path)
+    marks = ["a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|>y <| z |>", "a<|endoftext|>"]
+    for text in ODD[:1] + ODD[2:] + marks:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == ids
+    spelled = encode.TextEncoder(path, spell_special=True)
+    assert all(spelled.encode(t) == (spelled.whole(t) if t else b"") for t in ODD[:1] + ODD[2:] + marks)
+    assert spelled.encode(marks[0]) != coder.encode(marks[0])
+    coder.forget()
+    assert coder.encode("word word") == coder.whole("word word")
 
 
 @settings(max_examples=60, deadline=None)
@@ -48,7 +58,7 @@ def crc(ids):
 def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs, rows = frame(spark)
-    tokenizer = encode.TextEncoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     want, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
@@ -62,7 +72,7 @@ def test_token_files(spark):
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs, rows = frame(spark)
-    tokenizer = encode.TextEncoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     pieces = packing.pack_documents(docs, path, end_id=0, window=64)
     got = packing.piece_digests(pieces).collect()
     streams = {}
