@@ -31,7 +31,6 @@ read. An empty table has no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +41,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.blobs import pack_bytes, pack_columns, unpack_bytes, unpack_columns
-from tablewarden.llm.store import keep
+from tablewarden.llm.store import keep, keep_bucketed, lean
 from tablewarden.llm.words import Words, mix, slices, text_bytes
-from tablewarden.session import scratch_path
 
 ORDER = 5
 SLICE_BYTES = 16 << 20
@@ -238,19 +236,6 @@ def _thin(column: pa.Array) -> Iterator[pa.RecordBatch]:
     return slices(pa.RecordBatch.from_arrays([column], ["text"]), most=2 << 20)
 
 
-def _bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
-    """``df`` written to the shared folder in buckets, as many as the session's shuffle partitions, so
-    that a join on ``by`` reads it in place. The table's name is only needed to reach its buckets."""
-    spark = df.sparkSession
-    name = f"tablewarden_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.bucketBy(buckets, by).option("path", scratch_path(spark, label))
-    writer.format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return table
-
-
 # ---- the model ---------------------------------------------------------------------------------
 
 
@@ -294,6 +279,16 @@ def _discounts(counted: DataFrame) -> DataFrame:
     return found.select("tongue", d1.alias("d1"), d2.alias("d2"), F.coalesce(F.col("e3"), d2).alias("d3"))
 
 
+BROADCAST_TONGUES = 100_000
+
+
+def _small_join(rows: DataFrame, facts: DataFrame, label: str, how: str = "inner") -> DataFrame:
+    """Join one row per language to many rows. Few languages, as counted, are broadcast; if there are
+    very many, none of them is large, and an ordinary join will do."""
+    facts = keep(facts, label)
+    return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_TONGUES else facts, "tongue", how)
+
+
 def _order_probabilities(counted: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
     """``tongue, gram, p`` of one order; the lowest is interpolated with 256 equal bytes."""
     context = Window.partitionBy("tongue", F.shiftright("gram", 8))  # at most 256 rows each
@@ -301,7 +296,7 @@ def _order_probabilities(counted: DataFrame, order: int, lower: DataFrame | None
     def sure(i: int) -> Column:
         return F.sum(((F.col("n") == i) if i < 3 else (F.col("n") >= 3)).cast("bigint")).over(context)
 
-    rows = counted.join(_discounts(counted), "tongue").select(
+    rows = _small_join(counted, _discounts(counted), f"perplexity-d{order}").select(
         "tongue",
         "gram",
         (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
@@ -442,7 +437,7 @@ def scores(docs: DataFrame) -> DataFrame:
         tongue.alias("tongue"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    held = _bucketed(texts.mapInArrow(_sliced, SLICED), "slice", "perplexity-slices")
+    held = keep_bucketed(texts.mapInArrow(lambda b: lean(_sliced(b)), SLICED), "slice", "perplexity-slices")
     counted = held.select("tongue", "grams", "times").mapInArrow(_counted, "tongue string, gram bigint, n bigint")
     counts = keep(counted.groupBy("tongue", "gram").agg(F.sum("n").alias("n")), "perplexity-counts")
     asked_for = held.agg(F.sum("n_grams")).first()[0] or 0
@@ -511,7 +506,7 @@ def verdicts(
 ) -> DataFrame:
     """Per text: doc_id, the base counts, ``base_failed``, ``kept``, ``log_perplexity`` and its band."""
     scored = keep(scores(docs), "perplexity-scores")
-    judged = scored.join(bands(scored, below, above, least), "tongue", "left")
+    judged = _small_join(scored, bands(scored, below, above, least), "perplexity-bands", "left")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return judged.select(
         "doc_id",

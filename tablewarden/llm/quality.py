@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden.llm.store import lean
 from tablewarden.llm.words import Words, slices
 
 PASSAGE_BYTES = 512
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
 
 def _scores(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, most=1 << 20):
+        for part in slices(batch, most=1 << 19):
             features, each = passages(part["text"])
             score = _forward(model, features.astype(np.float64), each)["p"]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(score)], ["doc_id", "score"])
@@ -205,12 +206,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, score`` of every row: the chance of label 1. Null and empty texts are one empty passage."""
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    ).mapInArrow(lambda batches: _scores(batches, model), "doc_id bigint, score double")
+    ).mapInArrow(lambda batches: lean(_scores(batches, model)), "doc_id bigint, score double")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: dict, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, most=1 << 20):
+        for part in slices(batch, most=1 << 19):
             features, each = passages(part["text"])
             enough = _forward(model, features.astype(np.float64), each)["p"] >= least
             yield part.filter(pa.array(enough))
@@ -218,4 +219,4 @@ def _kept(batches: Iterator[pa.RecordBatch], model: dict, least: float) -> Itera
 
 def accepted(docs: DataFrame, model: dict, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``least``."""
-    return docs.mapInArrow(lambda batches: _kept(batches, model, least), docs.schema)
+    return docs.mapInArrow(lambda batches: lean(_kept(batches, model, least)), docs.schema)
