@@ -53,8 +53,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = secrets.fit(secrets.labelled_samples(spark))
-    return secrets.span_digests(secrets.secret_spans(_table(spark, sf_dir, "documents"), ratio))
+    docs = _table(spark, sf_dir, "documents")
+    model = secrets.fit(secrets.labelled_samples(spark, docs))
+    return secrets.span_digests(secrets.secret_spans(docs, model))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
