@@ -52,10 +52,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret's span replaced by a mark."""
-    ratio = secrets.fit(secrets.labelled_samples(spark))
+    model = secrets.fit(secrets.labelled_samples(spark, docs))
     changed = ~F.col("text").eqNullSafe(F.col("_before"))
     before = docs.select(COLUMNS).withColumn("_before", F.col("text"))
-    clean = secrets.redacted(secrets.secret_spans(before, ratio))
+    clean = secrets.redacted(secrets.secret_spans(before, model))
     n_chars = F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(COLUMNS)
 
