@@ -10,9 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.store import keep, lean
+from tablewarden.llm.store import keep, lean, small_batches
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def pack_bytes(data: bytes) -> bytes:
@@ -52,7 +52,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def numbered(docs: DataFrame) -> DataFrame:
     """``row, doc_id, blob`` of all rows. ``row`` also tells repeated doc_ids apart."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda batches: lean(_numbered(batches)), "row bigint, doc_id bigint, blob binary")
+    return small_batches(texts).mapInArrow(lambda batches: lean(_numbered(batches)), "row bigint, doc_id bigint, blob binary")
 
 
 def numbered_texts(docs: DataFrame, label: str) -> DataFrame:

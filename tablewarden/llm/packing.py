@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.encode import encoder, encoding
-from tablewarden.llm.store import keep, lean, partition_offsets
+from tablewarden.llm.store import keep, lean, partition_offsets, small_batches
 
 WINDOW = 1024
 BATCH_IDS = 1 << 18
@@ -97,7 +97,7 @@ def pack_documents(
     order is that of the written partitions. Nothing is shuffled but one total per partition.
     """
     encoded = keep(
-        docs.select(
+        small_batches(docs).select(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
         ).mapInArrow(lambda batches: encoding(_encoded(batches, tokenizer_path, end_id), encoder(tokenizer_path)), ENCODED),
         "packing-ids",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.store import lean
+from tablewarden.llm.store import lean, small_batches
 from tablewarden.llm.words import Words, slices
 
 PASSAGE_BYTES = 512
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(most)
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = (
         texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "quality", "text")
@@ -219,4 +219,4 @@ def _kept(batches: Iterator[pa.RecordBatch], model: dict, least: float) -> Itera
 
 def accepted(docs: DataFrame, model: dict, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``least``."""
-    return docs.mapInArrow(lambda batches: lean(_kept(batches, model, least)), docs.schema)
+    return small_batches(docs).mapInArrow(lambda batches: lean(_kept(batches, model, least)), docs.schema)

@@ -46,11 +46,26 @@ def keep_bucketed(df: DataFrame, by: str, label: str, dealt: bool = False) -> Da
     return table
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to pass texts to Python in small Arrow batches.
+
+    The default of 10,000 rows a batch is some tens of megabytes of texts, held several times over on both
+    sides of every running task.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass batches on; after the last one, give the memory that they took back to the system.
 
     Python workers are kept for later tasks, and what one task has freed would stay with its process.
     """
+    pa.set_memory_pool(pa.system_memory_pool())  # whose memory can be given back
     try:
         yield from batches
     finally:
