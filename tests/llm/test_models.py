@@ -159,6 +159,31 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_take_rows_that_repeat_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [
+        (20, 1, 1, 1.0), (20, 1, 1, 2.0), (20, 2, 1, 1.0), (20, 2, 1, 2.0), (20, 3, 20, 0.5), (20, 3, 20, 0.5),
+    ]
+
+
+def test_neighbour_index_prunes():
+    vectors = np.random.default_rng(4).normal(size=(6000, 48))
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    index = neighbours.Index(vectors, float(np.sqrt((vectors**2).sum(axis=1).max())))
+    recall, verified = [], []
+    for query in vectors[::100]:
+        places, scores = index.search(query, 20)
+        assert len(set(places.tolist())) == len(places)
+        assert (scores == (vectors[places] * query).sum(axis=1)).all()
+        best = places[np.argsort(-scores)[:20]]
+        recall.append(len(set(best.tolist()) & set(np.argsort(-(vectors @ query))[:20].tolist())) / 20)
+        verified.append(len(places) / len(vectors))
+    assert np.mean(recall) >= 0.9
+    assert np.mean(verified) <= 0.1
+
+
 def test_components(spark):
     links = [(a, a + 1) for a in range(0, 40)] + [(100, b) for b in range(101, 160)] + [(7, 7), (300, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
