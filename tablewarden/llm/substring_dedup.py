@@ -1,15 +1,21 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-Every window of 20 words is a suffix cut at depth 20, and a node at that depth with several suffixes
-below it is a repeat. Suffixes are sent to groups by a prefix of variable length. The short prefix of a
-window is the smallest of its 6-word runs (every window has one, equal windows have the same), so a
-first pass over these runs alone tells which prefixes occur once; their suffixes are leaves and go no
-further. Windows under a prefix with more suffixes than a group should hold take the whole window as
-their prefix. Each group is built on its own, sorted by its nodes at depth 20, and every suffix of a
-node but the first in the corpus is a repeat. Adjoining repeats make up the maximal ones.
+The suffixes are those that start at a word with at least 20 words left, cut at depth 20; a node of that
+depth with several suffixes below it is a repeat.
+
+Suffixes that cannot repeat are left out first. Every window of 20 words holds a smallest one of its
+6-word runs, and equal windows hold the same; a first pass over these runs alone tells which of them occur
+once, and a suffix around such a run is a leaf. A slice of a task counts a run it has often only once.
+
+The others are split into memory-sized groups by prefixes of variable length: a suffix takes the shortest
+of its prefixes of 4, 8, 12, 16 and 20 words whose group is not too large, by counts over all suffixes.
+Each group is then built on its own: its suffixes are sorted by their words, the words that neighbours
+share give the depth of the internal nodes between them, and below each node of depth 20 every suffix but
+the first in the corpus is a repeat. Adjoining repeats make up the maximal ones.
 
 Where one passage fills much of the corpus, each slice of a task sends only its first suffix of every
-node; the others are repeats already. Nodes are told apart by 128 bits.
+window; the others are repeats already and go straight to their rows. A word is a letter of 16 bits in a
+tree; suffixes whose letters all agree are one node only if their 64-bit window numbers agree too.
 """
 
 from __future__ import annotations
@@ -22,17 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.blobs import numbered_texts, pack_columns, text_slices, unpack_columns
-from tablewarden.llm.store import keep
+from tablewarden.llm.blobs import numbered, pack_columns, text_slices, unpack_columns
+from tablewarden.llm.store import keep, keep_bucketed, lean
 from tablewarden.llm.words import Words, mix, numbers, starts_of
 
 WINDOW_WORDS = 20
 PREFIX_WORDS = 6
-GROUP_SUFFIXES = 1 << 20
+GROUP_SUFFIXES = 1 << 19
+MOST_GROUPS = 1 << 17  # bounds the table of group sizes; beyond it groups grow instead
 LAST = np.iinfo(np.int64).max
 
 _WEIGHTS = numbers(41, 64)
-_COLUMNS = ("<u8", "<u8", "<i8", "<i8", "<u4")  # prefix, node, doc_id, row, start
+_SURE = ("<i8", "<u4")  # row, start
+_OPEN = ("<u8", "<i8", "<i8", "<u4")  # window number, doc_id, row, start; then a column of letters per word
+
+
+def prefix_lengths(words: int) -> list[int]:
+    """Lengths that a prefix may have, shortest first; the last is the whole window."""
+    return sorted({max(1, words * i // 5) for i in range(1, 6)})
 
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -85,50 +98,105 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, short: int) -> Iter
             found = _Suffixes(texts, words, short)
             heads = found.heads()
             doc, place = found.doc[heads], found.prefix[heads]
+            run = found.g[place]
+            _, first, group = np.unique(run, return_index=True, return_inverse=True)
+            often = np.bincount(group.ravel(), minlength=len(first))[group.ravel()] > 1
+            salt = part["row"].to_numpy()[doc] % 1024 + 1
+            salt[first] = 0  # only these need counting, the others occur twice already
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(found.g[place].view(np.int64)),
+                    pa.array(run.view(np.int64)),
+                    pa.array(salt.astype(np.int32)),
+                    pa.array(often),
                     pa.array(part["row"].to_numpy()[doc]),
                     pa.array((place - found.words.first[doc]).astype(np.int32)),
                 ],
-                ["prefix", "row", "place"],
+                ["prefix", "salt", "often", "row", "place"],
             )
 
 
-def _candidates(
+class _Open:
+    """Suffixes of a slice that may repeat, ordered so that equal windows adjoin, first in the corpus first."""
+
+    def __init__(self, part: pa.RecordBatch, texts: pa.Array, words: int, short: int):
+        found = _Suffixes(texts, words, short)
+        repeated = np.zeros(len(found.h) + 1, bool)
+        for i, places in enumerate(part["places"].to_pylist()):
+            repeated[found.words.first[i] + np.array(places, np.int64)] = True
+        mine = np.flatnonzero(repeated[found.prefix]) if len(found.prefix) else np.zeros(0, np.int64)
+        self.h, at, doc = found.h, found.starts[mine], found.doc[mine]
+        window = _runs(self.h, words)[at]
+        docs, rows = part["doc_id"].fill_null(LAST).to_numpy()[doc], part["row"].to_numpy()[doc]
+        start = (at - found.words.first[doc]).astype(np.uint32)
+        order = np.lexsort((start, rows, docs, window))
+        self.at, self.window, self.docs, self.rows, self.start = (
+            x[order] for x in (at, window, docs, rows, start)
+        )
+        self.first = np.ones(len(order), bool)
+        self.first[1:] = self.window[1:] != self.window[:-1]
+
+    def buckets(self, length: int, groups: int) -> np.ndarray:
+        """The bucket of each first suffix by its prefix of ``length`` words."""
+        number = _runs(self.h, length)[self.at[self.first]]
+        return (mix(number + np.uint64(length)) % np.uint64(groups)).astype(np.int64)
+
+
+def _sizes(
     batches: Iterator[pa.RecordBatch], words: int, short: int, groups: int
 ) -> Iterator[pa.RecordBatch]:
-    """Suffixes under repeated prefixes by group; first of its node in this slice, or a repeat."""
+    """How many suffixes of this task each bucket has, for every length of a prefix."""
+    lengths = prefix_lengths(words)
+    total = np.zeros((len(lengths), groups), np.int64)
     for batch in batches:
         for part, texts in text_slices(batch):
-            found = _Suffixes(texts, words, short)
-            rows = part["row"].to_numpy()
-            docs = part["doc_id"].fill_null(LAST).to_numpy()
-            kind = np.zeros(len(found.h) + 1, np.uint8)  # 1: repeated prefix, 2: a large one
-            for i, (places, large) in enumerate(
-                zip(part["places"].to_pylist(), part["large"].to_pylist(), strict=True)
-            ):
-                kind[found.words.first[i] + np.array(places, np.int64)] = 1 + np.array(large, np.uint8)
-            mine = np.flatnonzero(kind[found.prefix]) if len(found.prefix) else np.zeros(0, np.int64)
-            if not len(mine):
+            suffixes = _Open(part, texts, words, short)
+            if len(suffixes.at):
+                for level, length in enumerate(lengths):
+                    total[level] += np.bincount(suffixes.buckets(length, groups), minlength=groups)
+    level, bucket = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(level.astype(np.int32)), pa.array(bucket), pa.array(total[level, bucket])],
+        ["level", "bucket", "n"],
+    )
+
+
+def _candidates(
+    batches: Iterator[pa.RecordBatch], words: int, short: int, groups: int, large: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """The first suffix of every window of a slice, by group; the other ones as repeats, by row.
+
+    ``large`` tells for each length of a prefix but the last which buckets hold too many suffixes.
+    """
+    lengths = prefix_lengths(words)
+    for batch in batches:
+        for part, texts in text_slices(batch):
+            suffixes = _Open(part, texts, words, short)
+            if not len(suffixes.at):
                 continue
-            doc, prefix = found.doc[mine], found.g[found.prefix[mine]]
-            node = _runs(found.h, words)[found.starts[mine]]
-            start = (found.starts[mine] - found.words.first[doc]).astype(np.uint32)
-            key = np.where(kind[found.prefix[mine]] == 2, node, prefix)
-            group = (mix(key) % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((start, rows[doc], docs[doc], node, prefix, group))
-            group, prefix, node, doc, start = (x[order] for x in (group, prefix, node, doc, start))
-            first = np.ones(len(order), bool)
-            first[1:] = (node[1:] != node[:-1]) | (prefix[1:] != prefix[:-1])
-            out = []
-            for repeat in (False, True):
-                chosen = np.flatnonzero(first != repeat)
-                cuts = np.flatnonzero(np.diff(group[chosen], prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True) if len(chosen) else ():
-                    at = chosen[a:b]
-                    columns = (prefix[at], node[at], docs[doc[at]], rows[doc[at]], start[at])
-                    out.append((int(group[at[0]]), repeat, pack_columns(*columns)))
+            first, out = suffixes.first, []
+            group = np.full(int(first.sum()), -1, np.int64)
+            for level, length in enumerate(lengths):
+                bucket = suffixes.buckets(length, groups)
+                fits = group < 0
+                if level + 1 < len(lengths):
+                    fits &= ~large[level, bucket]
+                group[fits] = level * groups + bucket[fits]
+            letters = (suffixes.h >> np.uint64(48)).astype("<u2")
+            at, order = suffixes.at[first], np.argsort(group, kind="stable")
+            group = group[order]
+            columns = [x[first][order] for x in (suffixes.window, suffixes.docs, suffixes.rows, suffixes.start)]
+            columns += [letters[at[order] + i] for i in range(words)]
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append((int(group[a]), False, pack_columns(*(c[a:b] for c in columns))))
+            rows, start = suffixes.rows[~first], suffixes.start[~first]
+            if len(rows):
+                by = rows % groups
+                order = np.argsort(by, kind="stable")
+                by, rows, start = by[order], rows[order], start[order]
+                cuts = np.flatnonzero(np.diff(by, prepend=-1, append=-1))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    out.append((-1 - int(by[a]), True, pack_columns(rows[a:b], start[a:b])))
             groups_, repeats, blobs = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(groups_, pa.int64()), pa.array(repeats, pa.bool_()), pa.array(blobs, pa.binary())],
@@ -136,29 +204,64 @@ def _candidates(
             )
 
 
+class Tree:
+    """The suffix tree of a group as its sorted suffixes and the depth of the node above each neighbouring two."""
+
+    def __init__(self, letters: np.ndarray, window: np.ndarray, ties: tuple[np.ndarray, ...]):
+        """``letters`` has a column per suffix; of suffixes with equal windows the first by ``ties`` leads."""
+        depth, n = letters.shape
+        keys = []
+        for i in range(0, depth, 4):  # four letters a key
+            key = np.zeros(n, np.uint64)
+            for j in range(i, min(i + 4, depth)):
+                key = (key << np.uint64(16)) | letters[j].astype(np.uint64)
+            keys.append(key)
+        self.order = np.lexsort((*reversed(ties), window, *reversed(keys)))
+        self.depth = np.zeros(n, np.int64)  # words shared with the suffix before
+        alike = np.ones(max(n - 1, 0), bool)
+        for column in letters:
+            along = column[self.order]
+            alike &= along[1:] == along[:-1]
+            self.depth[1:] += alike
+        apart = window[self.order][1:] != window[self.order][:-1]
+        self.depth[1:][apart & (self.depth[1:] == depth)] = depth - 1  # letters that only look alike
+
+    def below(self, depth: int) -> np.ndarray:
+        """The suffixes below internal nodes of ``depth``, without the first one of every node."""
+        return self.order[self.depth >= depth]
+
+
 REPEATS = "row bigint, starts binary"
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Repeated suffixes of one group, by row."""
-    sure = [unpack_columns(b.as_py(), *_COLUMNS) for b in table.filter(table["repeat"])["blob"]]
-    open_ = [unpack_columns(b.as_py(), *_COLUMNS) for b in table.filter(pa.compute.invert(table["repeat"]))["blob"]]
-    rows, starts = [c[3] for c in sure], [c[4] for c in sure]
-    if open_:
-        prefix, node, doc, row, start = (np.concatenate(c) for c in zip(*open_, strict=True))
-        order = np.lexsort((start, row, doc, node, prefix))
-        same = np.zeros(len(order), bool)
-        same[1:] = (node[order][1:] == node[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
-        rows.append(row[order][same])
-        starts.append(start[order][same])
-    row, start = np.concatenate(rows), np.concatenate(starts)
-    order = np.argsort(row, kind="stable")
-    row, start = row[order], start[order]
-    cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else np.zeros(1, np.int64)
-    blobs = [start[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table(
-        {"row": pa.array(row[cuts[:-1]], pa.int64()), "starts": pa.array(blobs, pa.binary())}
-    )
+def _repeats(words: int):
+    def repeats(table: pa.Table) -> pa.Table:
+        """Repeated suffixes of one group, by row."""
+        rows, starts, open_ = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
+        for sure, blob in zip(table["repeat"].to_pylist(), table["blob"], strict=True):
+            if sure:
+                row, start = unpack_columns(blob.as_py(), *_SURE)
+                rows.append(row)
+                starts.append(start)
+            else:
+                open_.append(unpack_columns(blob.as_py(), *_OPEN, *["<u2"] * words))
+        if open_:
+            window, doc, row, start = (np.concatenate([c[i] for c in open_]) for i in range(4))
+            letters = np.stack([np.concatenate([c[4 + i] for c in open_]) for i in range(words)])
+            del open_
+            found = Tree(letters, window, (doc, row, start)).below(words)
+            rows.append(row[found])
+            starts.append(start[found])
+        row, start = np.concatenate(rows), np.concatenate(starts)
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], start[order]
+        cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else np.zeros(1, np.int64)
+        blobs = [start[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table(
+            {"row": pa.array(row[cuts[:-1]], pa.int64()), "starts": pa.array(blobs, pa.binary())}
+        )
+
+    return repeats
 
 
 def _mark(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -200,37 +303,42 @@ def repeated_passages(
     and ``text`` are read.
     """
     spark = docs.sparkSession
-    texts = numbered_texts(docs, "substring-texts")
-    places = texts.mapInArrow(
-        lambda b: _prefixes(b, words, short), "prefix bigint, row bigint, place int"
+    texts = keep_bucketed(numbered(docs), "row", "substring-texts", dealt=True)
+    runs = texts.mapInArrow(
+        lambda b: lean(_prefixes(b, words, short)),
+        "prefix bigint, salt int, often boolean, row bigint, place int",
     )
-    counted = places.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("prefix")))
+    counted = runs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("prefix", "salt")))
     repeated = keep(
-        counted.filter("n > 1")
-        .groupBy("row")
-        .agg(
-            F.collect_list("place").alias("places"),
-            F.collect_list(F.col("n") > group_suffixes // 16).alias("large"),
-        ),
+        counted.filter("n > 1 or often").groupBy("row").agg(F.collect_list("place").alias("places")),
         "substring-prefixes",
     )
-    # A prefix place has (words - short + 2) / 2 windows on average.
+    # A run has (words - short + 2) / 2 windows on average.
     found = repeated.agg(F.sum(F.size("places"))).first()[0] or 0
     suffixes = found * (words - short + 2) // 2
-    groups = max(-(-suffixes // group_suffixes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(min(-(-2 * suffixes // group_suffixes), MOST_GROUPS), partitions)
+    candidates = texts.join(repeated, "row").select("row", "doc_id", "blob", "places")
+    sizes = candidates.mapInArrow(
+        lambda b: lean(_sizes(b, words, short, groups)), "level int, bucket bigint, n bigint"
+    )
+    limit = max(group_suffixes, 2 * suffixes // MOST_GROUPS)
+    over = sizes.groupBy("level", "bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
+    large = np.zeros((len(prefix_lengths(words)), groups), bool)
+    for level, bucket in over.select("level", "bucket").collect():  # fewer than the groups, for every length
+        large[level, bucket] = True
     repeats = (
-        texts.join(repeated, "row")
-        .select("row", "doc_id", "blob", "places", "large")
-        .mapInArrow(
-            lambda b: _candidates(b, words, short, groups), "group bigint, repeat boolean, blob binary"
+        candidates.mapInArrow(
+            lambda b: lean(_candidates(b, words, short, groups, large)),
+            "group bigint, repeat boolean, blob binary",
         )
         .groupBy("group")
-        .applyInArrow(_repeats, REPEATS)
+        .applyInArrow(_repeats(words), REPEATS)
         .groupBy("row")
         .agg(F.collect_list("starts").alias("found"))
     )
     return texts.join(repeats, "row", "left").select("doc_id", "blob", "found").mapInArrow(
-        lambda b: _mark(b, words),
+        lambda b: lean(_mark(b, words)),
         "doc_id bigint, n_words bigint, spans array<struct<first:bigint,last:bigint>>, kept_sha256 string",
     )
 

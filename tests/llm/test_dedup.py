@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tablewarden.llm.exact_dedup import exact_groups
 from tablewarden.llm.jaccard_join import similar_components
-from tablewarden.llm.substring_dedup import removal_digests, repeated_passages
+from tablewarden.llm.substring_dedup import Tree, prefix_lengths, removal_digests, repeated_passages
 
 SCHEMA = "doc_id long, text string, row string, name string, _m long"
 
@@ -106,6 +107,40 @@ def test_repeated_passages_match_brute_force(spark, group):
     assert sorted(map(tuple, got.collect()), key=str) == passages_brute(rows, 4)
 
 
+@pytest.mark.parametrize("group", [1, 40, 1 << 19])
+def test_repeated_passages_of_random_texts(spark, group):
+    pick = random.Random(3)
+    rows = []
+    for i in range(60):  # few words, so that windows of six repeat now and then, and often after one word
+        words = [pick.choice("abcd") for _ in range(pick.randrange(40))]
+        rows.append((pick.randrange(50), " ".join(["x"] * pick.randrange(9) + words)))
+    kept = {}
+    rows = [r for r in rows if kept.setdefault(r[0], r) is r]
+    got = removal_digests(repeated_passages(frame(spark, rows), words=6, short=3, group_suffixes=group))
+    assert sorted(map(tuple, got.collect()), key=str) == passages_brute(rows, 6)
+
+
+def test_suffix_tree_depths():
+    pick = np.random.default_rng(1)
+    letters = pick.integers(0, 3, (6, 200)).astype(np.uint16)
+    window = np.array([hash(tuple(c)) % (1 << 60) for c in letters.T.tolist()], np.uint64)
+    window[7] += np.uint64(1)  # other words with the same letters
+    place = np.arange(200)
+    tree = Tree(letters, window, (place,))
+    words = [tuple(c) for c in letters.T.tolist()]
+    assert [words[i] for i in tree.order] == sorted(words)
+    for k in range(1, 200):
+        a, b = tree.order[k - 1], tree.order[k]
+        shared = next((i for i in range(6) if words[a][i] != words[b][i]), 6)
+        assert tree.depth[k] == (5 if shared == 6 and window[a] != window[b] else shared)
+    seen, again = set(), []
+    for i in place:
+        again += [i] * (window[i] in seen)
+        seen.add(window[i])
+    assert sorted(tree.below(6)) == again
+    assert prefix_lengths(20) == [4, 8, 12, 16, 20]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert exact_groups(none).count() == 0
