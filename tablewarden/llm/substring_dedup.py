@@ -14,8 +14,10 @@ share give the depth of the internal nodes between them, and below each node of
 the first in the corpus is a repeat. Adjoining repeats make up the maximal ones.
 
 Where one passage fills much of the corpus, each slice of a task sends only its first suffix of every
-window; the others are repeats already and go straight to their rows. A word is a letter of 16 bits in a
-tree; suffixes whose letters all agree are one node only if their 64-bit window numbers agree too.
+window; the others are repeats already and go straight to their rows. The trees are over a small alphabet:
+a word is a letter of 4 bits of its number, so a suffix travels as 10 bytes of letters. Words that share a
+letter only add nodes; suffixes whose letters all agree are one node of depth 20 only if their 64-bit window
+numbers agree too.
 """
 
 from __future__ import annotations
@@ -40,7 +42,18 @@ LAST = np.iinfo(np.int64).max
 
 _WEIGHTS = numbers(41, 64)
 _SURE = ("<i8", "<u4")  # row, start
-_OPEN = ("<u8", "<i8", "<i8", "<u4")  # window number, doc_id, row, start; then a column of letters per word
+_OPEN = ("<u8", "<i8", "<i8", "<u4")  # window number, doc_id, row, start; then a column per two letters
+
+
+def _pairs(letters: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of letters, two to a byte."""
+    odd = [np.zeros_like(letters[0])] if len(letters) % 2 else []
+    even = letters + odd
+    return [(even[i] << 4 | even[i + 1]).astype(np.uint8) for i in range(0, len(even), 2)]
+
+
+def _unpaired(pairs: list[np.ndarray], words: int) -> np.ndarray:
+    return np.stack([x for pair in pairs for x in (pair >> 4, pair & 15)][:words])
 
 
 def prefix_lengths(words: int) -> list[int]:
@@ -181,11 +194,11 @@ def _candidates(
                 if level + 1 < len(lengths):
                     fits &= ~large[level, bucket]
                 group[fits] = level * groups + bucket[fits]
-            letters = (suffixes.h >> np.uint64(48)).astype("<u2")
+            letters = (suffixes.h >> np.uint64(60)).astype(np.uint8)
             at, order = suffixes.at[first], np.argsort(group, kind="stable")
             group = group[order]
             columns = [x[first][order] for x in (suffixes.window, suffixes.docs, suffixes.rows, suffixes.start)]
-            columns += [letters[at[order] + i] for i in range(words)]
+            columns += _pairs([letters[at[order] + i] for i in range(words)])
             cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 out.append((int(group[a]), False, pack_columns(*(c[a:b] for c in columns))))
@@ -208,13 +221,13 @@ class Tree:
     """The suffix tree of a group as its sorted suffixes and the depth of the node above each neighbouring two."""
 
     def __init__(self, letters: np.ndarray, window: np.ndarray, ties: tuple[np.ndarray, ...]):
-        """``letters`` has a column per suffix; of suffixes with equal windows the first by ``ties`` leads."""
+        """``letters`` (below 16) has a column per suffix; of suffixes with equal windows the first by ``ties`` leads."""
         depth, n = letters.shape
         keys = []
-        for i in range(0, depth, 4):  # four letters a key
+        for i in range(0, depth, 16):  # sixteen letters a key
             key = np.zeros(n, np.uint64)
-            for j in range(i, min(i + 4, depth)):
-                key = (key << np.uint64(16)) | letters[j].astype(np.uint64)
+            for j in range(i, min(i + 16, depth)):
+                key = (key << np.uint64(4)) | letters[j].astype(np.uint64)
             keys.append(key)
         self.order = np.lexsort((*reversed(ties), window, *reversed(keys)))
         self.depth = np.zeros(n, np.int64)  # words shared with the suffix before
@@ -244,10 +257,11 @@ def _repeats(words: int):
                 rows.append(row)
                 starts.append(start)
             else:
-                open_.append(unpack_columns(blob.as_py(), *_OPEN, *["<u2"] * words))
+                open_.append(unpack_columns(blob.as_py(), *_OPEN, *["<u1"] * -(-words // 2)))
         if open_:
             window, doc, row, start = (np.concatenate([c[i] for c in open_]) for i in range(4))
-            letters = np.stack([np.concatenate([c[4 + i] for c in open_]) for i in range(words)])
+            pairs = [np.concatenate([c[4 + i] for c in open_]) for i in range(-(-words // 2))]
+            letters = _unpaired(pairs, words)
             del open_
             found = Tree(letters, window, (doc, row, start)).below(words)
             rows.append(row[found])

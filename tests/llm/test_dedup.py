@@ -122,7 +122,7 @@ def test_repeated_passages_of_random_texts(spark, group):
 
 def test_suffix_tree_depths():
     pick = np.random.default_rng(1)
-    letters = pick.integers(0, 3, (6, 200)).astype(np.uint16)
+    letters = pick.integers(0, 3, (6, 200)).astype(np.uint8)
     window = np.array([hash(tuple(c)) % (1 << 60) for c in letters.T.tolist()], np.uint64)
     window[7] += np.uint64(1)  # other words with the same letters
     place = np.arange(200)
