@@ -36,7 +36,7 @@ from tablewarden.llm.words import Words, mix, numbers, starts_of
 
 WINDOW_WORDS = 20
 PREFIX_WORDS = 6
-GROUP_SUFFIXES = 1 << 19
+GROUP_SUFFIXES = 1 << 20
 MOST_GROUPS = 1 << 17  # bounds the table of group sizes; beyond it groups grow instead
 LAST = np.iinfo(np.int64).max
 
@@ -331,12 +331,12 @@ def repeated_passages(
     found = repeated.agg(F.sum(F.size("places"))).first()[0] or 0
     suffixes = found * (words - short + 2) // 2
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(min(-(-2 * suffixes // group_suffixes), MOST_GROUPS), partitions)
+    groups = max(min(-(-suffixes // group_suffixes), MOST_GROUPS), partitions)
     candidates = texts.join(repeated, "row").select("row", "doc_id", "blob", "places")
     sizes = candidates.mapInArrow(
         lambda b: lean(_sizes(b, words, short, groups)), "level int, bucket bigint, n bigint"
     )
-    limit = max(group_suffixes, 2 * suffixes // MOST_GROUPS)
+    limit = max(group_suffixes, suffixes // MOST_GROUPS)
     over = sizes.groupBy("level", "bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > limit)
     large = np.zeros((len(prefix_lengths(words)), groups), bool)
     for level, bucket in over.select("level", "bucket").collect():  # fewer than the groups, for every length

@@ -107,7 +107,7 @@ def test_repeated_passages_match_brute_force(spark, group):
     assert sorted(map(tuple, got.collect()), key=str) == passages_brute(rows, 4)
 
 
-@pytest.mark.parametrize("group", [1, 40, 1 << 19])
+@pytest.mark.parametrize("group", [1, 40, 1 << 20])
 def test_repeated_passages_of_random_texts(spark, group):
     pick = random.Random(3)
     rows = []
