@@ -12,6 +12,44 @@ EXACT_SQL = r"""
 """
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+JACCARD_SQL = rf"""
+    WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                      'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3
+               THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+               FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS MATERIALIZED (
+        SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+        WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+              UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+    SELECT a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id
+    FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""
+
+PASSAGES_SQL = rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+    windows AS (SELECT doc_id, start, array_to_string(ws[start:start + 19], ' ') AS passage
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS start FROM w)),
+    again AS (SELECT doc_id, start FROM windows
+              QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, start) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM again),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+             FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _leaf(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")
     spelled = [f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields]
@@ -108,6 +146,8 @@ def clustering_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
 
 
 ORACLE_SQL = {
+    "op3_jaccard_join": JACCARD_SQL,
+    "op10_substring_dedup": PASSAGES_SQL,
     "op2_exact_dedup": EXACT_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
     "op13_centroid_clustering": clustering_sql(),

@@ -23,7 +23,9 @@ def documents(spark, rows, parts=3):
     return spark.createDataFrame([(*r, 1, "x", "y") for r in rows], DOCS).repartition(parts)
 
 
-@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_centroid_clustering"])
+@pytest.mark.parametrize(
+    "name", ["op3_jaccard_join", "op10_substring_dedup", "op12_merkle_manifest", "op13_centroid_clustering"]
+)
 def test_query_matches_reference_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == duck_rows(connect(sf), ORACLE_SQL[name])
 
