@@ -244,12 +244,12 @@ class Tree:
         return self.order[self.depth >= depth]
 
 
-REPEATS = "row bigint, starts binary"
+REPEATS = "row bigint, start int"  # a row per repeat: as many as the input has, however it is grouped
 
 
 def _repeats(words: int):
     def repeats(table: pa.Table) -> pa.Table:
-        """Repeated suffixes of one group, by row."""
+        """Repeated suffixes of one group."""
         rows, starts, open_ = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
         for sure, blob in zip(table["repeat"].to_pylist(), table["blob"], strict=True):
             if sure:
@@ -267,13 +267,7 @@ def _repeats(words: int):
             rows.append(row[found])
             starts.append(start[found])
         row, start = np.concatenate(rows), np.concatenate(starts)
-        order = np.argsort(row, kind="stable")
-        row, start = row[order], start[order]
-        cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else np.zeros(1, np.int64)
-        blobs = [start[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table(
-            {"row": pa.array(row[cuts[:-1]], pa.int64()), "starts": pa.array(blobs, pa.binary())}
-        )
+        return pa.table({"row": pa.array(row, pa.int64()), "start": pa.array(start.astype(np.int32))})
 
     return repeats
 
@@ -282,17 +276,17 @@ def _mark(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for part, texts in text_slices(batch):
             total, spans, digests = [], [], []
-            for text, found in zip(texts.cast(pa.large_binary()), part["found"].to_pylist(), strict=True):
+            for text, found in zip(texts.cast(pa.large_binary()), part["found"], strict=True):
                 own = text.as_py().split()
                 removed = np.zeros(len(own), bool)
-                if found:
-                    starts = np.frombuffer(b"".join(found), "<u4")
+                if found.is_valid:
+                    starts = found.values.to_numpy()
                     edge = np.zeros(len(own) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + words, -1)
                     removed = np.cumsum(edge)[:-1] > 0
                 ends = np.flatnonzero(np.diff(removed.astype(np.int8), prepend=0, append=0))
-                kept = [w for w, gone in zip(own, removed.tolist(), strict=True) if not gone] if found else own
+                kept = [w for w, gone in zip(own, removed.tolist(), strict=True) if not gone] if found.is_valid else own
                 total.append(len(own))
                 spans.append([{"first": int(a), "last": int(b)} for a, b in zip(ends[::2], ends[1::2], strict=True)])
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -349,7 +343,7 @@ def repeated_passages(
         .groupBy("group")
         .applyInArrow(_repeats(words), REPEATS)
         .groupBy("row")
-        .agg(F.collect_list("starts").alias("found"))
+        .agg(F.collect_list("start").alias("found"))
     )
     return texts.join(repeats, "row", "left").select("doc_id", "blob", "found").mapInArrow(
         lambda b: lean(_mark(b, words)),
