@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.store import lean, small_batches
@@ -22,6 +22,7 @@ from tablewarden.llm.words import Words, slices
 PASSAGE_BYTES = 512
 HIDDEN, GATE = 24, 12
 MAX_LABELLED = 4000
+MAX_LABELLED_BYTES = 64 << 20  # what the driver learns from is about as large
 EPOCHS, BAGS, RATE = 30, 64, 0.004
 
 _CLASS = np.full(256, 9, np.uint8)  # other signs
@@ -167,10 +168,13 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
+def fit(
+    docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_bytes: int = MAX_LABELLED_BYTES
+) -> dict:
     """Learn from at most ``most`` labelled documents outside the held-out fifth.
 
-    Which ones is decided by a hash of doc_id. Texts, nothing else, become features. Null or other
+    Which ones is decided by a hash of doc_id; should their texts exceed ``most_bytes``, the longest are
+    left out, whole. Texts, nothing else, become features. Null or other
     labels and null ids are not used; of a doc_id labelled twice the smaller label counts.
     """
     chosen = (
@@ -182,8 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
         .limit(most)
     )
     texts = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    sizes = found.groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text").cast("bigint") + 1).alias("size"))
+    # A row per chosen doc_id, so one task may order them.
+    total = F.sum("size").over(Window.orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    taught = sizes.withColumn("_total", total).filter(F.col("_total") <= most_bytes)
+    taught = taught.select(F.col("doc_id").alias("_id"), "quality")
     rows = (
-        texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        texts.join(F.broadcast(taught), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "quality", "text")
         .mapInPandas(_bags, "doc_id bigint, quality int, bag binary")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "bag")

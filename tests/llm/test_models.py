@@ -3,9 +3,11 @@
 import itertools
 import math
 import re
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -113,6 +115,57 @@ def test_quality_edges(spark, sf):
     assert quality.accepted(docs, model, 0.6).count() == 0
 
 
+def test_quality_learns_from_bounded_bytes(spark, monkeypatch):
+    texts = [(i, "w" * n) for i, n in enumerate([5, 40_000, 700, 0, 3_000, 20_000, 900])]
+    texts += [(4, "again " * 100), (None, "no id"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(2, 1), (None, 1)], "doc_id long, quality int")
+    usable = {i for i in range(8) if zlib.crc32(str(i).encode()) % 5}
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda bags, y: seen.append(sorted(zip(map(len, bags), y.tolist()))))
+    for most_bytes in (1 << 20, 5_000):
+        quality.fit(docs, labels, most_bytes=most_bytes)
+        size = {i: sum(len(t or "") + 1 for j, t in texts if j == i) for i in usable}
+        total, taught = 0, set()
+        for i in sorted(usable, key=lambda i: (size[i], i)):
+            total += size[i]
+            if total <= most_bytes:
+                taught.add(i)
+        # Of an id labelled twice the smaller label counts.
+        y = {i: i % 2 for i in taught}
+        want = [(max(1, len(t or "") // 512 + (len(t or "") % 512 > 0)), float(y[i])) for i, t in texts if i in taught]
+        assert len(seen[-1]) == len(want) and [b for _, b in seen[-1]].count(1.0) == [b for _, b in want].count(1.0)
+        assert sum(k for k, _ in seen[-1]) * quality.PASSAGE_BYTES <= most_bytes + len(want) * quality.PASSAGE_BYTES
+    assert len(seen[1]) < len(seen[0])
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """The score of a text by the formula, passage by passage, whatever rows share its batch."""
+    rng = np.random.default_rng(4)
+    model = quality.learn([rng.normal(size=(k, quality.FEATURES)).astype(np.float32) for k in (2, 1, 4)], np.array([1.0, 0, 1]))
+    texts = ["", None, "Plain words.\n", "é漢🙂 " * 400, "x" * 1500, "one two three, " * 200, "1 2 3 <b>" * 99]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    for i, t in enumerate(texts):
+        features, each = quality.passages(pa.array([t or ""]))
+        assert each.tolist() == [len(features)]
+        weights, codes = [], []
+        for row in features.astype(float):
+            x = [(v - m) / s for v, m, s in zip(row, model["mean"], model["scale"], strict=True)]
+            h = [math.tanh(sum(a * b for a, b in zip(x, col, strict=True)) + c) for col, c in zip(model["W"].T, model["b"], strict=True)]
+            tanh = [math.tanh(sum(a * b for a, b in zip(h, col, strict=True))) for col in model["V"].T]
+            gate = [sigmoid(sum(a * b for a, b in zip(h, col, strict=True))) for col in model["U"].T]
+            weights.append(math.exp(sum(a * b * c for a, b, c in zip(tanh, gate, model["w"], strict=True))))
+            codes.append(h)
+        z = [sum(w * h[j] for w, h in zip(weights, codes, strict=True)) / sum(weights) for j in range(quality.HIDDEN)]
+        want = sigmoid(sum(a * b for a, b in zip(z, model["c"], strict=True)) + model["d"][0])
+        assert math.isclose(got[i], want, rel_tol=1e-6), t
+
+
 def test_quality_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     bags = [rng.normal(size=(k, quality.FEATURES)).astype(np.float32) for k in (1, 3, 2)]
