@@ -10,6 +10,36 @@ from tablewarden.session import scratch_path
 # A chunk of neighbours_in_order holds 2**16 positions. Two such levels leave at
 # most one row per 2**32 positions for the single last step.
 CHUNK_BITS = 16
+ROWS_PER_RANGE = 1 << 16
+SAMPLED_PER_RANGE = 1000
+
+
+def _range_number(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many bounds are below ``value``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    at = len(bounds) // 2
+    low = _range_number(value, bounds[:at], first)
+    return F.when(value <= F.lit(bounds[at]), low).otherwise(_range_number(value, bounds[at + 1 :], first + at + 1))
+
+
+def in_ranges(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in the order of a numeric ``key``: ranges that rise with the partition, sorted inside.
+
+    There are as many ranges as the rows need, at most one per shuffle partition; nulls come first. The
+    bounds come from a sample of the key alone, for which Catalyst leaves out all that other columns cost:
+    a range partitioning of ``df`` would compute all of its rows for the sample, and then again.
+    """
+    keys = df.select(key)
+    count = keys.count()
+    ranges = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_PER_RANGE)))
+    bounds = []
+    if ranges > 1:
+        sample = keys.sample(min(1.0, SAMPLED_PER_RANGE * ranges / count), seed=1)
+        steps = [i / ranges for i in range(1, ranges)]
+        bounds = sample.agg(F.percentile_approx(key, steps, 100 * SAMPLED_PER_RANGE)).first()[0] or []
+    number = F.when(F.col(key).isNull(), 0).otherwise(_range_number(F.col(key), sorted(set(bounds))))
+    return df.repartitionById(ranges, number).sortWithinPartitions(key)
 
 
 def sorted_runs(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, str]:

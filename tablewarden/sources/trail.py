@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.operators.audit import audit_lines
+from tablewarden.operators.sequence import in_ranges
 from tablewarden.sources.commit_log import append_record, create_once, exists, last_number, read_record
 
 APPENDS, KEYS = "_appends", "_keys"
@@ -30,8 +31,8 @@ def keyed_append(spark: SparkSession, path: str, key: str) -> str | None:
 def append_audit(records: DataFrame, path: str, key: str | None = None) -> None:
     """Append records as lines, ids rising over the files of the append.
 
-    Records of several partitions are range-partitioned by id, once. With a ``key``, an append that is
-    complete is left as it is.
+    The lines are dealt into ranges of ids and sorted there. With a ``key``, an append that is complete is
+    left as it is; it holds the few lines of one request.
     """
     spark = records.sparkSession
     if key is None:
@@ -45,7 +46,8 @@ def append_audit(records: DataFrame, path: str, key: str | None = None) -> None:
             create_once(spark, f"{path}/{KEYS}/{key}.json", {"append": number})
             known = read_record(spark, f"{path}/{KEYS}/{key}.json")
         number = known["append"]
-    ordered = audit_lines(records).orderBy("request_id")
+    lines = audit_lines(records)
+    ordered = in_ranges(lines, "request_id") if key is None else lines.orderBy("request_id")
     ordered.select("value").write.mode("overwrite").text(append_folder(path, number))
 
 

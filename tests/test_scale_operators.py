@@ -78,3 +78,17 @@ def test_nulls_are_counted_per_column(spark):
     assert got == [("a", 1), ("b", 1)]
     assert integrity.null_violations(df.limit(0), ["a", "c"]).count() == 0
     assert integrity.null_violations(df.filter("a = 2"), ["a", "b"]).count() == 0
+
+
+def test_in_ranges_orders_the_whole_and_balances_it(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "ROWS_PER_RANGE", 500)
+    ids = [None] * 3 + list(range(1900)) + [10**15, -(10**15)] + [700] * 95
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    out = sequence.in_ranges(df, "id")
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert [r.id for r in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    sizes = [sum(r.part == p for r in got) for p in range(out.rdd.getNumPartitions())]
+    assert len(sizes) == 4 and max(sizes) < 800  # one far id does not spoil the ranges
+    assert sequence.in_ranges(df.limit(0), "id").collect() == []
+    doubles = spark.createDataFrame([(float(i % 7),) for i in range(2000)], "id double")
+    assert [r.id for r in sequence.in_ranges(doubles, "id").collect()] == sorted(float(i % 7) for i in range(2000))
