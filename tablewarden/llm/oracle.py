@@ -50,6 +50,30 @@ PASSAGES_SQL = rf"""
 """
 
 
+CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
+
+
+def _escaped(text: str) -> str:
+    """Every control string becomes the sign and its number; the sign itself number 0."""
+    for i, control in enumerate(("␛", *CONTROLS)):
+        text = f"replace({text}, '{control}', '␛{i}')"
+    return text
+
+
+# A turn is written <s>[INST] role [/INST]text</s>.
+CHAT_SQL = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(length('<s>[INST] ' || {_escaped("role")} || ' [/INST]' || {_escaped("text")} || '</s>'))::BIGINT
+               AS formatted_chars
+    FROM t GROUP BY conv_id
+"""
+
+
 def _leaf(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")
     spelled = [f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields]
@@ -147,6 +171,7 @@ def clustering_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
 
 ORACLE_SQL = {
     "op3_jaccard_join": JACCARD_SQL,
+    "op7_chat_formatting": CHAT_SQL,
     "op10_substring_dedup": PASSAGES_SQL,
     "op2_exact_dedup": EXACT_SQL,
     "op12_merkle_manifest": MERKLE_SQL,

@@ -24,7 +24,8 @@ def documents(spark, rows, parts=3):
 
 
 @pytest.mark.parametrize(
-    "name", ["op3_jaccard_join", "op10_substring_dedup", "op12_merkle_manifest", "op13_centroid_clustering"]
+    "name",
+    ["op3_jaccard_join", "op7_chat_formatting", "op10_substring_dedup", "op12_merkle_manifest", "op13_centroid_clustering"],
 )
 def test_query_matches_reference_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == duck_rows(connect(sf), ORACLE_SQL[name])
