@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators.audit import parse_trail
 from tablewarden.operators.projection import Col, Computed, Star
+from tablewarden.operators.triage import triage
 from tablewarden.plans.guarded import guard, guarded_read
 from tablewarden.plans import release
 from tablewarden.plans.lineage import as_table
 from tablewarden.plans.release import audit_refusal, guarded_release, release_after_audit
 from tablewarden.refusals import InternalFailure, MaskingRefused, PolicyRejected, QueryFailed, Refusal
-from tablewarden.sources import commit_log, releases
+from tablewarden import vocab
+from tablewarden.sources import commit_log, releases, requests
 from tablewarden.sources.trail import read_trail
 from tablewarden.streaming import jobs
 
@@ -286,3 +288,26 @@ def test_a_failure_of_any_kind_is_refused_and_recorded(spark, tmp_path, monkeypa
         )
     lines = spark.read.option("recursiveFileLookup", "true").text(trail).collect()
     assert [r.value for r in lines if "INTERNAL_FAILURE" in r.value]
+
+
+def test_request_stream_is_triaged_like_the_batch(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    rows = [
+        (1, "application/json", '{"sql": "select 1"}'), (2, "text/plain", '{"sql": "select 1"}'),
+        (3, "application/json; charset=utf-8", "[1]"), (4, "application/json", '{"sql": 7}'), (5, None, None),
+        (6, "application/json", '{"sql": "' + "x" * (vocab.MAX_SQL_BYTES + 1) + '"}'), (7, "application/json", '{"sql": ""}'),
+    ]
+    make = lambda part: spark.createDataFrame(part, requests.REQUEST_SCHEMA)
+    requests.write_requests(make(rows[:4]), log)
+    checkpoint = str(tmp_path / "checkpoint")
+    jobs.stream_triage(requests.stream_requests(spark, log), out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 4
+    requests.write_requests(make(rows[4:]), log)
+    for _ in range(2):  # the second run finds nothing new
+        jobs.stream_triage(requests.stream_requests(spark, log), out, checkpoint).awaitTermination()
+    got = {r.request_no: (r.sql, r.transport_code) for r in spark.read.parquet(out).collect()}
+    assert len(got) == 7 == spark.read.parquet(out).count()
+    assert got == {r.request_no: (r.sql, r.transport_code) for r in triage(requests.read_requests(spark, log)).collect()}
+    assert [got[i][1] for i in range(1, 8)] == [
+        None, "invalid_content_type", "invalid_json", "invalid_request", "invalid_content_type", "sql_too_large", None,
+    ]

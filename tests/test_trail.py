@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewarden import vocab
-from tablewarden.operators import audit
+from tablewarden.operators import audit, sequence
 from tablewarden.operators.projection import ENTRY_TYPE, with_list_refusal
 from tablewarden.operators.trail import audit_leak_join, trail_entries, trail_order
 from tablewarden.plans.release import OUTCOME_SCHEMA
@@ -26,7 +26,8 @@ def records(spark, pairs):
 
 
 @pytest.fixture()
-def many_files(spark):
+def many_files(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "ROWS_PER_RANGE", 4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
