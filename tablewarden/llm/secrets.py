@@ -1,10 +1,13 @@
 """Secrets by patterns and by character Markov models, in DataFrame functions only.
 
-Two first-order models over the characters of base64 text are counted from labelled samples: random
+Two first-order models over the characters of base64 text are counted from labelled tokens: random
 strings, and ordinary tokens. Ordinary ones are identifiers, paths, dates, numbers and ruled lines made
-by rule, and the tokens of at most ``SAMPLED_DOCUMENTS`` documents that match no pattern. A long token is
-a secret if the log-likelihood ratio of the two models, summed over its pairs of characters, passes a
-threshold; that is set on a held-out half of the samples, above all of its ordinary tokens.
+by rule, and the different tokens of all documents outside the matches of the patterns. Tokens of documents weigh
+at most as much as the made ones, however many there are. A long token is a secret if the log-likelihood
+ratio of the two models, summed over its pairs of characters, passes a threshold; that is set on a
+held-out half of the tokens, above all made ordinary ones. Documents may hold secrets that no pattern
+finds, so their tokens raise it only while that spares a larger share of them than it loses of random
+strings of the least length, and while nearly all of these (``FOUND_AT_LEAST``) are still found.
 
 Null texts are empty and have no spans; rows that repeat are scanned each. An empty table gives no rows,
 and models can be fitted without documents. Work grows with the text and, but for copies of references
@@ -20,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.llm.store import keep
+
 # The base patterns, their kinds in order, and the least length of a match (of the value
 # for "assign").
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,11 +35,13 @@ ASSIGN_VALUE = 8
 
 # The models' characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-LONG_TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+LONG = 20
+LONG_TOKEN = rf"[A-Za-z0-9+/_=-]{{{LONG},}}"
 TOKEN = r"[A-Za-z0-9+/_=-]{8,}"
 LEAST_THRESHOLD = 8.0
-SAMPLES = 20_000
-SAMPLED_DOCUMENTS = 1_000
+MADE_TOKENS = 20_000
+FOUND_AT_LEAST = 0.99
+SCORES = 1_000
 BLOCK = 512  # numbers that one step of a running sum carries
 PIECE = 1024  # characters of a text that are looked through for one place
 
@@ -53,11 +60,11 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, each: int = SAMPLES) -> DataFrame:
-    """``(token, label, held_out)``: random strings in base64, hex and capitals (1), and ordinary ones (0).
+def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, each: int = MADE_TOKENS) -> DataFrame:
+    """``(token, label, made, held_out)``: random strings in base64, hex and capitals (1), and ordinary ones (0).
 
     Made tokens are derived from row numbers by SHA-256 and the words above, so every run has the same.
-    Those of ``docs`` come from the documents that are first by a hash of their id.
+    Those of ``docs`` are all their different tokens outside the matches of the patterns; they are written once.
     """
     digest = F.sha2(F.col("id").cast("string"), 256)
     raw = F.base64(F.unhex(digest))
@@ -94,12 +101,14 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, each: i
     ids = spark.range(each)
     samples = ids.select(token.alias("token"), F.lit(1).alias("label")).unionByName(
         ids.select(name.alias("token"), F.lit(0).alias("label"))
-    )
+    ).withColumn("made", F.lit(True))
     if docs is not None:
-        some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_DOCUMENTS)
-        found = some.select(F.explode(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
-        plain = found.filter(~F.col("token").rlike(f"{ACCESS}|{HEX}")).distinct()
-        samples = samples.unionByName(plain.select("token", F.lit(0).alias("label")))
+        rest = F.col("text").cast("string")
+        for pattern in (ASSIGN, ACCESS, HEX):
+            rest = F.regexp_replace(rest, pattern, " ")
+        found = docs.select(F.explode(F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0))).alias("token"))
+        plain = keep(found.distinct(), "secret-tokens")
+        samples = samples.unionByName(plain.select("token", F.lit(0).alias("label"), F.lit(False).alias("made")))
     return samples.withColumn("held_out", F.pmod(F.xxhash64("token", "label"), F.lit(2)) == 1)
 
 
@@ -112,44 +121,73 @@ class Model:
 
 
 def fit(samples: DataFrame) -> Model:
-    """Count the pairs of one half of the samples and set the threshold on the other.
+    """Count the pairs of one half of the tokens and set the threshold on the other.
 
     The table's size is that of the alphabet squared.
     """
     size = len(ALPHABET)
-    at = F.sequence(F.lit(1), F.length("token") - 1)
+    last = F.length("token") - 1
+    chars = F.split("token", "")
+    pair = F.zip_with(F.slice(chars, F.lit(1), last), F.slice(chars, F.lit(2), last), lambda a, b: F.concat(a, b))
     pairs = samples.filter((F.length("token") > 1) & ~F.col("held_out")).select(
-        "label", F.explode(F.transform(at, lambda i: F.substring("token", i, F.lit(2)))).alias("pair")
+        "label", "made", F.explode(pair).alias("pair")
     )
-    counts = [[1.0] * (size * size) for _ in range(2)]
-    for row in pairs.groupBy("label", "pair").count().collect():  # at most 2 * size * size rows
+    made, found = [[0.0] * (size * size) for _ in range(2)], [0.0] * (size * size)
+    for row in pairs.groupBy("label", "made", "pair").count().collect():  # at most 3 * size * size rows
         a, b = ALPHABET.find(row["pair"][0]), ALPHABET.find(row["pair"][1])
         if a >= 0 and b >= 0:
-            counts[row["label"]][a * size + b] += row["count"]
+            (made[row["label"]] if row["made"] else found)[a * size + b] += row["count"]
+    weight = min(1.0, sum(made[0]) / max(sum(found), 1.0))
+    counts = [[1.0 + m + weight * f for m, f in zip(made[0], found, strict=True)], [1.0 + m for m in made[1]]]
     ratio = []
     for a in range(size):
         rows = [c[a * size : (a + 1) * size] for c in counts]
         sums = [sum(r) for r in rows]
         ratio += [math.log(p / sums[1]) - math.log(q / sums[0]) for q, p in zip(*rows, strict=True)]
-    ordinary = samples.filter((F.col("label") == 0) & F.col("held_out") & F.col("token").rlike(f"^{LONG_TOKEN}$"))
-    highest = ordinary.agg(F.max(_score(F.col("token"), ratio)).alias("m")).first()["m"]
-    return Model(ratio, max(LEAST_THRESHOLD, (highest or 0.0) + 1.0))
+    return Model(ratio, _threshold(samples, ratio))
+
+
+def _threshold(samples: DataFrame, ratio: list[float]) -> float:
+    """The score from which a token is a secret, by all long tokens of the held-out half.
+
+    Random strings are cut to the least length. Scores are counted by their whole parts; beyond ``SCORES``
+    they count as that.
+    """
+    long = samples.filter(F.col("held_out") & F.col("token").rlike(f"^{LONG_TOKEN}$"))
+    token = F.when(F.col("label") == 1, F.substring("token", 1, LONG)).otherwise(F.col("token"))
+    scored = long.select("label", "made", _score(token, ratio).alias("score"))
+    part = F.least(F.greatest(F.floor("score"), F.lit(-SCORES)), F.lit(SCORES)).cast("int").alias("part")
+    bins = scored.groupBy("label", "made", part).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("m")).collect()
+    highest = max((r["m"] for r in bins if r["made"] and r["label"] == 0), default=0.0)
+    best = least = max(LEAST_THRESHOLD, highest + 1.0)
+    secret, found = ([r for r in bins if (r["label"], r["made"]) == k] for k in ((1, True), (0, False)))
+
+    def share(rows: list, t: float) -> float:
+        """Of these tokens, those with a score of ``t`` or more."""
+        return sum(r["n"] for r in rows if r["part"] >= t) / max(sum(r["n"] for r in rows), 1)
+
+    gain = share(secret, math.ceil(least)) - share(found, math.floor(least))
+    for t in range(math.ceil(least), SCORES + 1):
+        if share(secret, t) < FOUND_AT_LEAST:
+            break
+        if share(secret, t) - share(found, t) > gain:
+            best, gain = float(t), share(secret, t) - share(found, t)
+    return best
 
 
 def _score(token: Column, ratio: list[float]) -> Column:
-    """Summed log-likelihood ratio of a token over ALPHABET."""
+    """Summed log-likelihood ratio of a token over ALPHABET, in one pass over its characters."""
     table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded into a constant
-    letters = F.lit(ALPHABET)
+    state = "struct<before:int,total:double>"
 
-    def code(i: Column) -> Column:
-        return F.instr(letters, F.substring(token, i, F.lit(1)))
+    def step(s: Column, c: Column) -> Column:
+        code = F.instr(F.lit(ALPHABET), c)
+        at = (s["before"] - 1) * len(ALPHABET) + code
+        more = F.when(s["before"] > 0, F.element_at(table, at)).otherwise(0.0)
+        return F.struct(code.alias("before"), (s["total"] + more).alias("total")).cast(state)
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda total, i: total
-        + F.element_at(table, ((code(i) - 1) * len(ALPHABET) + code(i + 1)).cast("int")),
-    )
+    begin = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total")).cast(state)
+    return F.aggregate(F.split(token, ""), begin, step, lambda s: s["total"])
 
 
 SPAN = "struct<start:int,kind:int,end:int>"

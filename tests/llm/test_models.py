@@ -1,5 +1,7 @@
 """Secrets, quality, neighbours, components, the queries and the pipeline."""
 
+import base64
+import hashlib
 import itertools
 import math
 import re
@@ -64,6 +66,49 @@ def test_models_find_held_out_secrets_and_flag_no_ordinary_token(spark, sf):
     assert rates[0] == 0 and rates[1] > 0.9
 
 
+def _letters(i, salt, n=24):
+    """``n`` letters and digits that look random."""
+    return base64.b64encode(hashlib.sha256(f"{salt}:{i}".encode()).digest()).decode().translate({43: "k", 47: "Q"})[:n]
+
+
+def test_models_learn_from_every_document(spark):
+    named = lambda i: "".join("aeioubcdfg"[int(c)] for c in f"{i:012d}")
+    rows = [(i, f"see {named(i)} password={_letters(i, 1)} AKIA{'B' * 16} {'0f' * 16} x{i % 7}") for i in range(1500)]
+    docs = spark.createDataFrame([*rows, (9999, None), (9998, "")], "doc_id long, text string")
+    found = secrets.labelled_samples(spark, docs, each=50).filter(~F.col("made"))
+    assert sorted(r.token for r in found.collect()) == sorted(named(i) for i in range(1500))
+
+
+def test_unknown_secrets_in_documents_do_not_hide_others(spark):
+    """The long tokens of the documents are random strings that no pattern finds, half of them held out."""
+    words = lambda i: " ".join(secrets.PARTS[(i + k) % 97] + secrets.PARTS[(i * k) % 89] for k in range(1, 9))
+    docs = spark.createDataFrame([(i, f"key {_letters(i, 2) if i % 8 == 0 else i} of {words(i)}") for i in range(1200)],
+                                 "doc_id long, text string")
+    model = secrets.fit(secrets.labelled_samples(spark, docs, each=2000))
+    other = spark.createDataFrame([(i, f"key {_letters(i, 3)} or src/main/java/resources/x") for i in range(300)],
+                                  "doc_id long, text string")
+    hits = [[(s.start, s.end) for s in r.spans] for r in secrets.secret_spans(other, model).collect()]
+    assert sum(h == [(4, 28)] for h in hits) > 270 and all(h in ([], [(4, 28)]) for h in hits)
+
+
+def test_documents_raise_the_threshold(spark):
+    """Ordinary tokens above it are spared, if few of the random strings are lost."""
+    ratio = [1.0] * len(secrets.ALPHABET) ** 2  # a score is the number of pairs, but for a and b
+    for letter, value in (("a", 2.0), ("b", 1.1)):
+        ratio[secrets.ALPHABET.index(letter) * (len(secrets.ALPHABET) + 1)] = value
+
+    def least(*found):
+        rows = [(t, k, True, True) for t, k in [("a" * 30, 1)] * 199 + [("b" * 21, 1)] + [("c" * 20, 0)]]
+        rows += [(t, 0, False, True) for t in found]
+        samples = spark.createDataFrame(rows, "token string, label int, made boolean, held_out boolean")
+        return secrets._threshold(samples, ratio)
+
+    assert least() == 20.0 and least("d" * 20) == 20.0
+    assert least("d" * 22, "e" * 23, "f" * 20) == 23.0  # one in 200 random strings is lost
+    assert least(*["d" * 41] * 9) == 20.0  # too many random strings would be lost
+    assert least(*["d" * 200] * 9) == 20.0  # as many random strings as tokens would be lost
+
+
 def test_scores_equal_brute_force(spark, ratio):
     tokens = ["aZ09+/_-=aa", "ab", "Zx8Qm2Lr9TkVb4Ns7Wd1Pc6", "=" * 30]
     df = spark.createDataFrame([(t,) for t in tokens], "token string")
@@ -96,6 +141,18 @@ def test_spans_of_texts_with_very_many_matches(spark, ratio):
         assert r.text == out + text[at:]
 
 
+def test_pipeline_fits_secret_models_on_all_its_documents(spark, sf, monkeypatch):
+    seen = []
+    fit = secrets.fit
+    monkeypatch.setattr(secrets, "fit", lambda samples: seen.append(samples) or fit(samples))
+    named = lambda i: "".join("aeioubcdfg"[int(c)] for c in f"{i:010d}")
+    rows = [(i, named(i), "en", "s", 10) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.without_secrets(spark, docs, sf).count() == 1300
+    found = seen[0].filter("label = 0").select("token").distinct()
+    assert found.join(docs, found.token == docs.text).count() == 1300
+
+
 def test_quality_on_held_out_documents(spark, sf):
     got = queries.op8_quality_classifier(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
