@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memory of encoded words.
 
 A text of plain Latin letters, digits and signs is cut into pre-tokens here, and those not yet in
-memory go straight to the tokenizer's model. Any other text is cut where a printing character is
+memory go straight to the tokenizer's model; many texts at once give each of their different words once. Any other text is cut where a printing character is
 followed by a space or line end, which both vocabularies in use cut as well; of its words, those that
 are not plain, and any text with an unusual space, take the tokenizer's whole way.
 """
@@ -16,12 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from tokenizers import Tokenizer
 
 from tablewarden.llm.store import lean
+from tablewarden.llm.words import starts_of
 
 CACHED_WORDS = 150_000
 MISSES_BEFORE_CLEARING = 10 * CACHED_WORDS
+MANY_CHARS = 4 << 20  # a longer text is encoded alone
 
 # The pre-token patterns of the two tokenizer files, for Latin-1 letters.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -85,11 +88,24 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.kind = "H" if self.dtype == "<u2" else "I"
         self.ids_of_word = _Words(self._word).__getitem__
+        self.ids_of_token = _Words(self._token).__getitem__ if self.lowers else self.ids_of_word
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
+    def _token(self, token: str) -> bytes:
+        """Ids of one lower-cased token of a plain text."""
+        if not token.isascii():
+            token = token.encode().decode("latin-1").translate(self.letters)
+        return self._ids([token]) if token else b""
+
+    def _ids(self, tokens: list[str]) -> bytes:
+        coded = array(self.kind, [t.id for token in tokens for t in self.model.tokenize(token)])
+        if sys.byteorder == "big":
+            coded.byteswap()
+        return coded.tobytes()
+
     def _word(self, word: str) -> bytes:
         bare = word[1:] if word[0] == " " else word
         if bare.isascii() and bare.isalpha():
@@ -99,10 +115,7 @@ class TextEncoder:
             tokens = [t.encode().decode("latin-1").translate(self.letters) for t in found]
         else:
             return self.whole(word)
-        coded = array(self.kind, [t.id for token in tokens for t in self.model.tokenize(token)])
-        if sys.byteorder == "big":
-            coded.byteswap()
-        return coded.tobytes()
+        return self._ids(tokens)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian numbers of type ``dtype``."""
@@ -112,15 +125,48 @@ class TextEncoder:
             return self.whole(text)
         if self.known and _PLAIN.fullmatch(text):
             tokens = self.tokens.findall(text.lower() if self.lowers else text)
-            return b"".join(map(self.ids_of_word, tokens))
+            return b"".join(map(self.ids_of_token, tokens))
         if not self.known or (not self.lowers and _ODD_SPACE.search(text)):
             return self.whole(text)
         return b"".join(map(self.ids_of_word, self.words.findall(text)))
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text. Where spaces are no part of a token, each different word of the plain
+        texts is looked up once."""
+        if not self.lowers:
+            return [self.encode(text) for text in texts]
+        plain = [
+            i
+            for i, text in enumerate(texts)
+            if text and len(text) <= MANY_CHARS and not any(m in text for m in self.marks) and _PLAIN.fullmatch(text)
+        ]
+        coded = dict(zip(plain, self._of_words([texts[i].lower() for i in plain]), strict=True))
+        return [coded[i] if i in coded else self.encode(text) for i, text in enumerate(texts)]
+
+    def _of_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of lower-cased plain texts: of each different token once, then of words, then of texts."""
+        split = pa.compute.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = split.flatten().dictionary_encode()
+        mixed = pa.compute.invert(pa.compute.utf8_is_alpha(words.dictionary))
+        apart = pa.compute.replace_substring_regex(words.dictionary.filter(mixed), f"({self.tokens.pattern})", r"\1 ")
+        apart = pa.compute.replace_with_mask(words.dictionary, mixed, pa.compute.ascii_trim_whitespace(apart))
+        parts = pa.compute.ascii_split_whitespace(apart)
+        tokens = parts.flatten().dictionary_encode()
+        coded = list(map(self.ids_of_token, tokens.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(self.dtype).itemsize
+        ids = np.frombuffer(b"".join(coded), self.dtype)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        for several, once in ((parts, tokens), (split, words)):
+            which = once.indices.to_numpy()
+            each = np.diff(offsets)[which]
+            ids = ids[starts_of(offsets[which], each)]
+            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])[several.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
     def forget(self) -> None:
         """Let the words in memory go."""
         self.ids_of_word.__self__.clear()
+        self.ids_of_token.__self__.clear()
 
 
 _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm.encode import encoder, encoding
 from tablewarden.llm.store import ROW_GROUP_BYTES, lean, partition_offsets
+from tablewarden.llm.words import slices
 from tablewarden.session import scratch_path
 
 BLOCK = 256
@@ -130,13 +131,15 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         )
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            doc_ids.append(doc_id)
-            coded.append(coder.encode(text.as_py()) + end)
-            held += len(coded[-1]) // unit
-            if held >= CHUNK_IDS:
-                yield flush()
-                start, chunk, held, doc_ids, coded = start + held, chunk + 1, 0, [], []
+        for part_of in slices(batch):
+            ids_of_texts = coder.encode_many(part_of["text"].to_pylist())
+            for doc_id, ids in zip(part_of["doc_id"].to_pylist(), ids_of_texts, strict=True):
+                doc_ids.append(doc_id)
+                coded.append(ids + end)
+                held += len(coded[-1]) // unit
+                if held >= CHUNK_IDS:
+                    yield flush()
+                    start, chunk, held, doc_ids, coded = start + held, chunk + 1, 0, [], []
     if doc_ids:
         yield flush()
 

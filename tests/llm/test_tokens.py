@@ -2,6 +2,7 @@
 
 import hashlib
 import pathlib
+import random
 import subprocess
 import sys
 import zlib
@@ -142,3 +143,23 @@ def test_modules_import_the_arrow_functions_they_use():
     for name in users:
         code = f"import pyarrow as pa, tablewarden.llm.{name}; pa.compute"
         subprocess.run([sys.executable, "-c", code], check=True, cwd=folder.parents[1])
+
+
+def test_many_texts_at_once_equal_the_library_and_look_each_token_up_once():
+    coder = encode.TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pick = random.Random(8)
+    signs = ["a", "B", "é", "É", " ", "  ", "\n", "'s", "'S", "don't", "''s", "'ll", "12", "_", "%", "<", "ß", "İ", "\t",
+             "\x1c", "<|endoftext|>", "中", "\r\n"]
+    texts = ["".join(pick.choices(signs[: 17 if i % 3 else None], k=pick.randrange(25))) for i in range(3000)]
+    texts += [None, "", " ", "\n \n", "word " * 50]
+    assert coder.encode_many(texts) == [coder.whole(t or "") for t in texts] and coder.encode_many([]) == []
+    coder.forget()
+    asked = []
+    memory = coder.ids_of_token.__self__
+    memory.encode = lambda token, plain=memory.encode: asked.append(token) or plain(token)
+    encode_, encode.CACHED_WORDS = encode.CACHED_WORDS, 0  # nothing is remembered
+    try:
+        coder.encode_many(["Two words, two words. TWO 22"] * 40)
+    finally:
+        encode.CACHED_WORDS = encode_
+    assert sorted(asked) == sorted(["two", "words", ",", ".", "2"])
