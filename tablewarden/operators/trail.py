@@ -132,55 +132,70 @@ def trail_order(lines: DataFrame) -> DataFrame:
 # ---- leaks -------------------------------------------------------------------------------------
 
 GRAM = 6
+STRIDES = (8, 4, 2)
+ROW_GROUP_BYTES = 8 << 20  # small, so that many tasks can read what few wrote
 BROADCAST_ROWS = 500_000
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The different runs of ``size`` characters of a text, in time linear in its length."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def _grams(text: Column, size: int, stride: int = 1) -> Column:
+    """The runs of ``size`` characters of a text that start at every ``stride``-th, in time linear in its length."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}})).{{1,{stride}}}"), F.lit(1))
 
 
 def leak_index(lines: DataFrame, canaries: DataFrame, gram: int = GRAM) -> DataFrame:
-    """``gram, size, canary``: every canary under its gram that the fewest lines have.
+    """``gram, size, stride, canary``: every canary under the grams of its window that the fewest lines have.
 
-    A canary shorter than ``gram`` characters is its own gram. The counts combine before their
-    shuffle, and only grams of canaries are counted.
+    A window is ``stride`` consecutive grams. A line is cut at every ``stride``-th character, so wherever a
+    canary stands in it, one gram of each of its windows is cut out. A canary takes the largest stride
+    that leaves it two windows; one shorter than ``gram`` characters is its own gram. The counts combine
+    before their shuffle.
     """
+    spark = lines.sparkSession
     texts = canaries.select(F.col("canary").cast("string").alias("canary")).filter("canary <> ''").distinct()
     size = F.least(F.char_length("canary"), F.lit(gram)).cast("int")
+    starts = F.char_length("canary") - F.col("size") + 1
+    stride = F.coalesce(*[F.when(starts >= 2 * s, F.lit(s)) for s in STRIDES], F.lit(1))
     choices = [F.when(F.col("size") == i, _grams(F.col("canary"), i)) for i in range(1, gram + 1)]
-    spread = texts.withColumn("size", size).select(
-        "canary", "size", F.explode(F.coalesce(*choices)).alias("gram")
+    spread = (
+        texts.withColumn("size", size)
+        .withColumn("stride", stride)
+        .withColumn("windows", F.floor(starts / F.col("stride")).cast("int"))
+        .select("canary", "size", "stride", "windows", F.posexplode(F.coalesce(*choices)).alias("at", "gram"))
+        .withColumn("window", F.floor(F.col("at") / F.col("stride")).cast("int"))
+        .filter("window < windows")
+        .select("canary", "size", "stride", "window", "gram")
     )
-    path = scratch_path(lines.sparkSession, "canary-grams")
+    path = scratch_path(spark, "canary-grams")
     spread.write.parquet(path)
-    spread = lines.sparkSession.read.parquet(path)
-    found = spread.select("gram", "size").distinct()
-    of_lines = _line_grams(lines.select("value"), spread, gram).select("gram", "size")
-    frequency = _probe(of_lines, found, ["gram", "size"]).groupBy("gram", "size").agg(F.count(F.lit(1)).alias("n"))
-    rated = spread.join(frequency, ["gram", "size"], "left")
-    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
-    # A canary with a gram that no line has cannot be found in any.
-    best = rated.groupBy("canary", "size").agg(F.min(rank).alias("best")).filter("best.n > 0")
-    return best.select(F.col("best.gram").alias("gram"), "size", "canary")
+    spread = spark.read.parquet(path)
+    key = ["gram", "size", "stride"]
+    frequency = _line_grams(lines.select("value"), spread, gram).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "canary-rated")
+    spread.join(frequency, key, "left").write.parquet(path)
+    rated = spark.read.parquet(path)
+    window = rated.groupBy("canary", "window").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rank = F.struct("n", "window")
+    # A canary with a window of which no line has a gram cannot be found in any.
+    best = window.groupBy("canary").agg(F.min(rank).alias("best")).filter("best.n > 0")
+    best = best.select("canary", F.col("best.window").alias("window"))
+    return rated.filter("n > 0").join(best, ["canary", "window"]).select(*key, "canary").distinct()
 
 
 def _line_grams(lines: DataFrame, index: DataFrame, gram: int) -> DataFrame:
-    """Lines with each of their grams, of those sizes only that some canary has."""
-    sizes = [r["size"] for r in index.select("size").distinct().collect()]  # at most ``gram`` numbers
+    """Lines with each of their grams, of those sizes and strides only that some canary has."""
+    kinds = index.select("size", "stride").distinct().collect()  # a few numbers
 
-    def sized(i: int) -> Column:
-        return F.transform(_grams(F.col("value"), i), lambda g: F.struct(g.alias("gram"), F.lit(i).alias("size")))
+    def cut(i: int, s: int) -> Column:
+        return F.transform(
+            F.array_distinct(_grams(F.col("value"), i, s)),
+            lambda g: F.struct(g.alias("gram"), F.lit(i).alias("size"), F.lit(s).alias("stride")),
+        )
 
-    listed = [sized(i) for i in sorted(sizes)]
+    listed = [cut(i, s) for i, s in sorted((r["size"], r["stride"]) for r in kinds)]
     if not listed:
-        return lines.limit(0).select("*", F.lit("").alias("gram"), F.lit(0).alias("size"))
-    return lines.select("*", F.explode(F.concat(*listed)).alias("_g")).select("*", "_g.gram", "_g.size").drop("_g")
-
-
-def _probe(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join whose right side is broadcast if it has few rows, and shuffled with the left otherwise."""
-    return many.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on)
+        nothing = [F.lit("").alias("gram"), F.lit(0).alias("size"), F.lit(0).alias("stride")]
+        return lines.limit(0).select("*", *nothing)
+    return lines.select("*", F.explode(F.concat(*listed)).alias("_g")).select("*", "_g.*").drop("_g")
 
 
 def audit_leak_join(
@@ -189,13 +204,24 @@ def audit_leak_join(
     """``position, canary`` of every line that contains a canary of the table.
 
     Of each line only the grams under which canaries are listed lead to a comparison, so the time hardly
-    depends on how many canaries there are. NULL and empty canaries are in no line, repeated ones
-    count once.
+    depends on how many canaries there are. The lines are written once. An index of at most ``BROADCAST_ROWS``
+    is taken to the lines; with a larger one only grams and line numbers are shuffled, and texts once. NULL and
+    empty canaries are in no line, repeated ones count once.
     """
-    index = leak_index(lines, canaries, gram)
-    path = scratch_path(lines.sparkSession, "canary-index")
-    index.write.parquet(path)
-    index = lines.sparkSession.read.parquet(path)
-    texts = lines.select(F.col(position).alias("_position"), "value")
-    met = _probe(_line_grams(texts, index, gram), index, ["gram", "size"])
-    return met.filter(F.contains("value", "canary")).select(F.col("_position").alias(position), "canary")
+    spark = lines.sparkSession
+    path = scratch_path(spark, "leak-lines")
+    numbered = lines.select(F.monotonically_increasing_id().alias("_line"), F.col(position).alias("_position"), "value")
+    numbered.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    texts = spark.read.parquet(path)
+    path = scratch_path(spark, "canary-index")
+    leak_index(texts, canaries, gram).write.parquet(path)
+    index = spark.read.parquet(path)
+    key = ["gram", "size", "stride"]
+    if index.count() <= BROADCAST_ROWS:
+        met = _line_grams(texts, index, gram).join(F.broadcast(index), key)
+    else:
+        grams = _line_grams(texts.select("_line", "value"), index, gram).select("_line", *key)
+        met = texts.join(grams.join(index, key).select("_line", "canary"), "_line")
+    # A line may have several grams of a canary, and of one that it does not contain.
+    hits = met.filter(F.contains("value", "canary")).select("_line", "_position", "canary").distinct()
+    return hits.select(F.col("_position").alias(position), "canary")

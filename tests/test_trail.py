@@ -138,6 +138,33 @@ def test_leaks_equal_brute_force(spark, limit, monkeypatch):
     assert audit_leak_join(df, table.limit(0)).count() == 0 and audit_leak_join(df.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_leaks_of_long_canaries_at_any_place(spark, limit, monkeypatch):
+    from tablewarden.operators import trail
+
+    monkeypatch.setattr(trail, "BROADCAST_ROWS", limit)
+    pick = random.Random(12)
+    word = lambda n: "".join(pick.choice("abé\n𝄞.") for _ in range(n))
+    canaries = [word(n) for n in range(1, 45)] + ["\U0001d11e" * 9, "same start " * 3, "same start " * 3 + "x"]
+    lines = [(i, word(i % 19) + c * 2 + word(i % 5)) for i, c in enumerate(canaries * 3)] + [(3, None), (3, "same start " * 4)]
+    df = spark.createDataFrame(lines, "position long, value string").repartition(3)
+    table = spark.createDataFrame([(c,) for c in canaries], "canary string")
+    got = sorted((r.position, r.canary) for r in audit_leak_join(df, table).collect())
+    assert got == sorted((i, c) for i, v in lines if v for c in canaries if c in v)
+
+
+def test_leak_index_cuts_few_grams_of_a_line(spark):
+    from tablewarden.operators import trail
+
+    pick = random.Random(13)
+    word = lambda n: "".join(pick.choice("0123456789abcdef") for _ in range(n))
+    canaries = [word(32) for _ in range(20)]
+    lines = spark.createDataFrame([(word(400) + canaries[0] + word(368),)], "value string")
+    index = trail.leak_index(lines, spark.createDataFrame([(c,) for c in canaries], "canary string"))
+    assert {(r.canary, r.size, r.stride) for r in index.collect()} == {(canaries[0], 6, 8)}
+    assert trail._line_grams(lines, index, trail.GRAM).count() <= 100  # not 795
+
+
 def test_nothing_incomplete_becomes_a_line(spark):
     kinds = [part.rsplit(" ", 1) for part in OUTCOME_SCHEMA.split(", ")]
     full = {
