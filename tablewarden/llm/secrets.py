@@ -4,8 +4,9 @@ Two first-order models over the characters of base64 text are counted from label
 strings, and ordinary tokens. Ordinary ones are identifiers, paths, dates, numbers and ruled lines made
 by rule, and the different tokens of all documents outside the matches of the patterns. Tokens of documents weigh
 at most as much as the made ones, however many there are. A long token is a secret if the log-likelihood
-ratio of the two models, summed over its pairs of characters, passes a threshold; that is set on a
-held-out half of the tokens, above all made ordinary ones. Documents may hold secrets that no pattern
+ratio of the two models, summed over its pairs of characters, passes a threshold. The models count all
+tokens; the threshold is set on all long ones, above all made ordinary ones, where each half of the tokens
+is scored by models of the other half. Documents may hold secrets that no pattern
 finds, so their tokens raise it only while that spares a larger share of them than it loses of random
 strings of the least length, and while nearly all of these (``FOUND_AT_LEAST``) are still found.
 
@@ -121,19 +122,25 @@ class Model:
 
 
 def fit(samples: DataFrame) -> Model:
-    """Count the pairs of one half of the tokens and set the threshold on the other.
+    """Count the pairs of all tokens, and set the threshold on each half by the counts of the other.
 
     The table's size is that of the alphabet squared.
     """
-    size = len(ALPHABET)
     last = F.length("token") - 1
     chars = F.split("token", "")
     pair = F.zip_with(F.slice(chars, F.lit(1), last), F.slice(chars, F.lit(2), last), lambda a, b: F.concat(a, b))
-    pairs = samples.filter((F.length("token") > 1) & ~F.col("held_out")).select(
-        "label", "made", F.explode(pair).alias("pair")
-    )
+    pairs = samples.filter(F.length("token") > 1).select("label", "made", "held_out", F.explode(pair).alias("pair"))
+    # At most 6 * size * size rows.
+    rows = pairs.groupBy("label", "made", "held_out", "pair").count().collect()
+    ratio, *halves = (_ratio([r for r in rows if r["held_out"] in of]) for of in ((False, True), (False,), (True,)))
+    return Model(ratio, _threshold(samples, *halves))
+
+
+def _ratio(rows: list) -> list[float]:
+    """Log ratio of every pair of characters by their counts."""
+    size = len(ALPHABET)
     made, found = [[0.0] * (size * size) for _ in range(2)], [0.0] * (size * size)
-    for row in pairs.groupBy("label", "made", "pair").count().collect():  # at most 3 * size * size rows
+    for row in rows:
         a, b = ALPHABET.find(row["pair"][0]), ALPHABET.find(row["pair"][1])
         if a >= 0 and b >= 0:
             (made[row["label"]] if row["made"] else found)[a * size + b] += row["count"]
@@ -144,18 +151,22 @@ def fit(samples: DataFrame) -> Model:
         rows = [c[a * size : (a + 1) * size] for c in counts]
         sums = [sum(r) for r in rows]
         ratio += [math.log(p / sums[1]) - math.log(q / sums[0]) for q, p in zip(*rows, strict=True)]
-    return Model(ratio, _threshold(samples, ratio))
+    return ratio
 
 
-def _threshold(samples: DataFrame, ratio: list[float]) -> float:
-    """The score from which a token is a secret, by all long tokens of the held-out half.
+def _threshold(samples: DataFrame, ratio: list[float], other: list[float] | None = None) -> float:
+    """The score from which a token is a secret, by all long tokens.
 
+    ``ratio`` scores the held-out half and ``other`` the rest; without ``other``, ``ratio`` scores all.
     Random strings are cut to the least length. Scores are counted by their whole parts; beyond ``SCORES``
     they count as that.
     """
-    long = samples.filter(F.col("held_out") & F.col("token").rlike(f"^{LONG_TOKEN}$"))
+    long = samples.filter(F.col("token").rlike(f"^{LONG_TOKEN}$"))
     token = F.when(F.col("label") == 1, F.substring("token", 1, LONG)).otherwise(F.col("token"))
-    scored = long.select("label", "made", _score(token, ratio).alias("score"))
+    score = _score(token, ratio)
+    if other is not None:
+        score = F.when(F.col("held_out"), score).otherwise(_score(token, other))
+    scored = long.select("label", "made", score.alias("score"))
     part = F.least(F.greatest(F.floor("score"), F.lit(-SCORES)), F.lit(SCORES)).cast("int").alias("part")
     bins = scored.groupBy("label", "made", part).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("m")).collect()
     highest = max((r["m"] for r in bins if r["made"] and r["label"] == 0), default=0.0)

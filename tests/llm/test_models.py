@@ -109,6 +109,16 @@ def test_documents_raise_the_threshold(spark):
     assert least(*["d" * 200] * 9) == 20.0  # as many random strings as tokens would be lost
 
 
+def test_both_halves_of_the_tokens_make_models_and_threshold(spark):
+    """It does not matter which half is held out: each is counted, and each sets the threshold."""
+    rows = [(_letters(i, 5), 1, True, i % 2 == 0) for i in range(200)]
+    rows += [(f"{secrets.PARTS[i % 90]}_{secrets.PARTS[i % 83 + 3]}_{i:08d}", 0, True, i % 3 == 0) for i in range(300)]
+    rows += [("qQ" * 15, 0, False, False), ("Zx8Qm2Lr9TkVb4Ns7Wd1Pc6", 0, False, True)]
+    schema = "token string, label int, made boolean, held_out boolean"
+    one, two = (spark.createDataFrame([(*r[:3], r[3] ^ turned) for r in rows], schema) for turned in (False, True))
+    assert secrets.fit(one) == secrets.fit(two)
+
+
 def test_scores_equal_brute_force(spark, ratio):
     tokens = ["aZ09+/_-=aa", "ab", "Zx8Qm2Lr9TkVb4Ns7Wd1Pc6", "=" * 30]
     df = spark.createDataFrame([(t,) for t in tokens], "token string")
