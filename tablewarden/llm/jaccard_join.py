@@ -7,10 +7,11 @@ Per band of sizes the sketch is cut into more pieces than that; by the pigeonhol
 agree in a piece, and pieces are joined by equality. A piece is sent as a linear 64-bit hash of its bits.
 
 Sets that agree in a piece are candidates. A bucket of few sets tries all its pairs; a larger one tries
-all its sets against a few hubs, and only what is then still in different components meets in blocks of
-the bucket, where 512-bit sketches are compared in memory. Candidates that pass the sketches' bound are
-verified on the whole sets. So no pair that could change a component is left out, and none is written out
-merely for sharing a bucket.
+all its sets against one hub, and only what is then still outside the bucket's largest component meets the
+rest in blocks of the bucket, where 512-bit sketches are compared in memory. Of the candidates that pass
+the sketches' bound every set first sends its nearest ones; while any were held back and their components
+are still apart, more follow, at last all. Candidates are verified on the whole sets. So no pair that
+could change a component is left out, and none is written out merely for sharing a bucket.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from tablewarden.llm.words import Words, mix, numbers
 from tablewarden.operators.joins import spread_join
 
 BAND_RATIO = 1.3
-HUBS = 4
+SMALL = 5  # sets of a bucket that tries all its pairs
 BLOCK = 256
+NEAREST = (8, 64, 1 << 30)  # candidates that a set sends from a pair of blocks, round by round
 SKETCH_WORDS = 8
 
 _TEXT_SALT, _PIECE_SALT, _BIT_SALT, _SIGN_A, _SIGN_B = numbers(61, 5)
@@ -193,22 +195,41 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         yield from links
 
 
-def _near(bands: Bands):
-    """Pairs of one block of a bucket, or of two, that differ in component and may be linked."""
+def _near(bands: Bands, nearest: int):
+    """Pairs of one block of a bucket, or of two, that differ in component and may be linked.
+
+    Each set sends its ``nearest`` ones; ``cut`` tells that others were held back.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
         order = np.argsort(table["cid"].to_numpy(), kind="stable")
         cid, root, size, side = (table[c].to_numpy()[order] for c in ("cid", "root", "n", "side"))
         sketch = np.array(table["sketch"].combine_chunks().flatten().to_numpy()).reshape(-1, SKETCH_WORDS)[order]
+        across = bool(side[0] >= 0)  # two blocks: pairs across them
+        one = np.flatnonzero(side == side[0])
+        two = np.flatnonzero(side != side[0]) if across else one
         found = []
-        for i in range(len(cid)):
-            far = np.bitwise_count((sketch[i + 1 :] ^ sketch[i]).view(np.uint64)).sum(axis=1)
-            near = (far <= bands.most(size[i + 1 :], size[i])) & (root[i + 1 :] != root[i])
-            if side[i] >= 0:  # two blocks: pairs across them
-                near &= side[i + 1 :] != side[i]
-            found.append(np.stack([np.full(int(near.sum()), cid[i]), cid[i + 1 :][near]]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for some in np.array_split(one, len(one) // BLOCK + 1):
+            both = np.ix_(some, two)
+            far = np.zeros((len(some), len(two)), np.int64)
+            for w in range(SKETCH_WORDS):
+                far += np.bitwise_count((sketch[some, w][:, None] ^ sketch[two, w][None]).view(np.uint64))
+            near = (far <= bands.most(size[:, None], size[None])[both]) & (root[:, None] != root[None])[both]
+            if not across:
+                near &= some[:, None] < two[None]
+            x, y = np.nonzero(near)
+            found.append(np.stack([some[x], two[y], far[x, y]]))
+        x, y, far = np.concatenate(found, axis=1)
+        lower, higher = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
+        sent = np.zeros(len(x), bool)
+        ends, edge = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((edge, far[edge], ends))
+        ends, edge = ends[order], edge[order]
+        begin = np.maximum.accumulate(np.where(np.diff(ends, prepend=-1) != 0, np.arange(len(ends)), 0))
+        sent[edge[np.arange(len(ends)) - begin < nearest]] = True
+        many = int(sent.sum())
+        key, cut = np.full(many, table["key"][0].as_py()), np.full(many, not sent.all())
+        return pa.table(list(map(pa.array, (key, lower[sent], higher[sent], cut))), ["key", "a", "b", "cut"])
 
     return pairs
 
@@ -247,14 +268,14 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     in_bucket = Window.partitionBy("key")
     shared = keep(pieces.withColumn("m", F.count(F.lit(1)).over(in_bucket)).filter("m > 1"), "jaccard-buckets")
 
-    # Hubs are chosen by numbers alone; sketches join the different pairs afterwards.
+    # Hubs are chosen by numbers alone; sketches join the different pairs afterwards. Buckets of much the
+    # same sets take the same hub, so their pairs are the same.
     sketches = profiles.select(F.col("row").alias("cid"), "n", "sketch")
     members = shared.withColumn("popular", F.sum("m").over(Window.partitionBy("cid")))
-    # Half of the buckets take their most-met sets as hubs, the others any.
-    order = F.when(F.col("key") % 2 == 0, -F.col("popular")).otherwise(F.xxhash64("key", "cid"))
-    ranked = Window.partitionBy("key").orderBy(order, "cid")
+    ranked = Window.partitionBy("key").orderBy(F.desc("popular"), "cid")
     whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hubs = F.array(*[F.nth_value("cid", i + 1).over(whole) for i in range(HUBS)])
+    first = [F.nth_value("cid", i + 1).over(whole) for i in range(SMALL - 1)]
+    hubs = F.when(F.col("m") > SMALL, F.array(first[0])).otherwise(F.array(*first))
     pairs = (
         members.select("cid", hubs.alias("hubs"))
         .select("cid", F.explode("hubs").alias("hub"))
@@ -268,11 +289,17 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = keep(_verify(tried, texts, n, percent), "jaccard-links")
     roots = components(links)
 
-    rest = _unresolved(shared, roots, sketches, bands)
-    rest = keep(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, texts, n, percent))
-        roots = components(links)
+    for nearest in NEAREST:
+        near = keep(_unresolved(shared, roots, sketches, bands, nearest), "jaccard-near")
+        rest = keep(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+        if not rest.isEmpty():
+            links = keep(links.unionByName(_verify(rest, texts, n, percent)), "jaccard-links")
+            roots = components(links)
+        held = near.filter("cut").select("key").distinct()
+        if held.isEmpty():
+            break
+        tried = tried.unionByName(rest)
+        shared = shared.join(held, "key", "left_semi")  # the other buckets have sent all
 
     roots = roots.select(F.col("node").alias("cid"), "root")
     named = classes.join(roots, "cid", "left").select("n", "a", "b", F.coalesce("root", "cid").alias("root"))
@@ -295,35 +322,60 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     )
 
 
-def _unresolved(shared: DataFrame, roots: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
-    """Untried pairs of buckets that had more sets than hubs try and are in several components still."""
-    large = shared.filter(F.col("m") > HUBS + 1).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+def _unresolved(shared: DataFrame, roots: DataFrame, sketches: DataFrame, bands: Bands, nearest: int) -> DataFrame:
+    """``key, a, b, cut``: pairs of buckets that had more than ``SMALL`` sets and are in several components still.
+
+    Sets outside a bucket's largest component, mostly few, meet that component's and each other block by block.
+    """
+    large = shared.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     large = large.select("key", "cid", F.coalesce("root", "cid").alias("root"))
     open_ = (
-        large.groupBy("key")
+        large.groupBy("key", "root")
+        .agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("who"))
+        .groupBy("key")
         .agg(
-            F.min("root").alias("least"),
-            F.max("root").alias("most"),
-            F.count(F.lit(1)).alias("m"),
-            F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("who"),
+            F.max(F.struct("k", "root")).alias("main"),
+            F.sum("k").alias("m"),
+            F.sum(F.col("who").cast("decimal(38,0)")).alias("who"),
         )
-        .filter("least < most")
+        .filter("main.k < m")
         .groupBy("m", "who")  # buckets of the same sets are looked at once
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        .agg(F.min_by(F.struct("key", "main"), "key").alias("one"))
+        .select(
+            "one.key", "one.main.root",
+            F.ceil(F.col("one.main.k") / BLOCK).cast("int").alias("inside"),
+            F.ceil((F.col("m") - F.col("one.main.k")) / BLOCK).cast("int").alias("outside"),
+        )
+        .withColumnRenamed("root", "main")
+    )
+    main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("cid"), F.when(main, F.col("inside")).otherwise(F.col("outside"))).cast("int")
+
+    def places(last: Column, place) -> Column:
+        return F.transform(F.sequence(F.lit(0), last - 1), place)
+
+    def at(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    met = F.when(main, places(F.col("outside"), lambda o: at(F.col("own"), o, F.lit(0)))).otherwise(
+        F.concat(
+            places(F.col("inside"), lambda o: at(o, F.col("own"), F.lit(1))),
+            places(  # numbered below 0: no block of the largest component
+                F.col("outside"),
+                lambda o: at(
+                    -1 - F.least("own", o),
+                    F.greatest("own", o),
+                    F.when(F.col("own") == o, F.lit(-1)).otherwise(F.col("own")),
+                ),
+            ),
+        )
     )
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
         large.join(open_, "key")
         .join(sketches, "cid")
-        .select("key", "cid", "root", "n", "sketch", block.alias("own"), other.alias("other"))
-        .select(
-            "key", "cid", "root", "n", "sketch",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"),
-        )
-    )
-    near = placed.groupBy("key", "i", "j").applyInArrow(_near(bands), "a bigint, b bigint")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .withColumn("own", own)
+        .select("key", "cid", "root", "n", "sketch", F.explode(met).alias("at"))
+        .select("key", "cid", "root", "n", "sketch", "at.i", "at.j", "at.side")
+    )
+    found = "key bigint, a bigint, b bigint, cut boolean"
+    return placed.groupBy("key", "i", "j").applyInArrow(_near(bands, nearest), found)

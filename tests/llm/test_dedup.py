@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tablewarden.llm import jaccard_join
 from tablewarden.llm.exact_dedup import exact_groups
 from tablewarden.llm.jaccard_join import similar_components
 from tablewarden.llm.substring_dedup import Tree, prefix_lengths, removal_digests, repeated_passages
@@ -84,6 +86,49 @@ def test_near_copies_match_brute_force(spark, n, percent):
     assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, n, percent)
 
 
+def around(base, rows, most, pick, shift=0):
+    """Copies of a text of ``base`` words, each with up to ``most`` words of its own."""
+    out = []
+    for i in range(rows):
+        words = [f"w{k}" for k in range(base)]
+        for _ in range(pick.randint(0, most)):
+            words[pick.randrange(base)] = f"x{pick.randrange(10**6)}"
+        out.append((shift + i, " ".join(words)))
+    return out
+
+
+def test_near_copies_are_not_tried_against_a_hub_for_each_bucket(spark, monkeypatch):
+    rows = around(200, 400, 3, random.Random(11))
+    tried, keep = {}, jaccard_join.keep
+    monkeypatch.setattr(jaccard_join, "keep", lambda df, label: tried.setdefault(label, keep(df, label)))
+    got = similar_components(frame(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, 5, 80)
+    assert tried["jaccard-pairs"].count() < 5 * len(rows)
+
+
+def test_near_copies_sent_in_rounds_match_brute_force(spark, monkeypatch):
+    """Blocks of 8 sets; each set sends one candidate of a pair of blocks first."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "NEAREST", (1, 2, 1 << 30))
+    rows = around(200, 120, 9, random.Random(5)) + [(200, "w1 w2"), (201, None)]
+    got = similar_components(frame(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, 5, 80)
+
+
+@pytest.mark.parametrize("side", [[-1] * 6, [0, 0, 1, 1, 1, 1]])
+def test_candidates_held_back_are_told(side):
+    """Six equal sketches; the first two sets are of one component already, or of one block."""
+    columns = {"key": [7] * 6, "cid": [3, 1, 5, 2, 6, 4], "root": [1, 1, 5, 2, 6, 4], "n": [100] * 6, "side": side}
+    table = pa.table(columns | {"sketch": pa.array([[9] * jaccard_join.SKETCH_WORDS] * 6, pa.list_(pa.int64()))})
+    apart = {(a, b) for a in (1, 2, 3, 4, 5, 6) for b in range(a + 1, 7)} - {(1, 3)}
+    possible = {p for p in apart if side[0] < 0 or len({1, 3} & set(p)) == 1}
+    few, every = (jaccard_join._near(jaccard_join.Bands(80), most)(table).to_pylist() for most in (1, 9))
+    assert {(r["a"], r["b"]) for r in every} == possible and len(every) == len(possible)
+    assert not any(r["cut"] for r in every) and {r["key"] for r in every} == {7}
+    assert len(few) < len(every) and all(r["cut"] for r in few)
+    assert {i for r in few for i in (r["a"], r["b"])} == {1, 2, 3, 4, 5, 6}
+
+
 def passages_brute(rows, size):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
