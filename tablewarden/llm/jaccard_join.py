@@ -6,12 +6,17 @@ difference. Links of similarity t between sets of sizes a and b differ in at mos
 Per band of sizes the sketch is cut into more pieces than that; by the pigeonhole principle linked sets
 agree in a piece, and pieces are joined by equality. A piece is sent as a linear 64-bit hash of its bits.
 
+Sketches have eight bits and more for each n-gram in which linked sets of that size may differ, up to 16,384,
+and are folded to the shorter one's width; shorter ones would pass any two large sets.
+
 Sets that agree in a piece are candidates. A bucket of few sets tries all its pairs; a larger one tries
-all its sets against one hub, and only what is then still outside the bucket's largest component meets the
-rest in blocks of the bucket, where 512-bit sketches are compared in memory. Of the candidates that pass
-the sketches' bound every set first sends its nearest ones; while any were held back and their components
-are still apart, more follow, at last all. Candidates are verified on the whole sets. So no pair that
-could change a component is left out, and none is written out merely for sharing a bucket.
+all its sets against one hub. Buckets then still in several components are merged with those of much the
+same sets, since sets that just miss the threshold share a bucket for every few of their n-grams. What is
+outside a merged bucket's largest component meets the rest in blocks, where sketches are compared in
+memory. Of the candidates that pass the sketches' bound every set first sends its nearest ones; while any
+were held back and their components are still apart, more follow, at last all. Candidates are verified on
+the whole sets. So no pair that could change a component is left out, and none is written out merely for
+sharing a bucket.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ BAND_RATIO = 1.3
 SMALL = 5  # sets of a bucket that tries all its pairs
 BLOCK = 256
 NEAREST = (8, 64, 1 << 30)  # candidates that a set sends from a pair of blocks, round by round
-SKETCH_WORDS = 8
+SKETCH_WORDS, MOST_SKETCH_WORDS = 8, 256
 
 _TEXT_SALT, _PIECE_SALT, _BIT_SALT, _SIGN_A, _SIGN_B = numbers(61, 5)
 
@@ -72,26 +77,28 @@ def _sums(owner: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 PROFILE = "row bigint, doc_id bigint, text_md5 string, n bigint, a bigint, b bigint, sketch array<bigint>"
 
 
-def _profiles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch], n: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in text_slices(batch):
             owner, grams = _sets(texts, n)
             rows = len(part)
             with np.errstate(over="ignore"):
                 signs = [_sums(owner, mix(grams * s), rows).view(np.int64) for s in (_SIGN_A, _SIGN_B)]
-                bit = mix(grams ^ _BIT_SALT) % np.uint64(64 * SKETCH_WORDS)
-            sketch = np.zeros((rows, SKETCH_WORDS), np.uint64)
-            np.bitwise_xor.at(
-                sketch, (owner, (bit // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bit % np.uint64(64))
-            )
+                bit = mix(grams ^ _BIT_SALT)
+            n_grams = np.bincount(owner, minlength=rows)
+            width = bands.sketch_words(n_grams)
+            first = np.concatenate([[0], np.cumsum(width)])
+            sketch = np.zeros(first[-1], np.uint64)
+            word = (bit // np.uint64(64) % width[owner].astype(np.uint64)).astype(np.int64)
+            np.bitwise_xor.at(sketch, first[owner] + word, np.uint64(1) << (bit % np.uint64(64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part["row"],
                     part["doc_id"],
                     pa.array([hashlib.md5(t.as_py()).hexdigest() for t in texts.cast(pa.large_binary())]),
-                    pa.array(np.bincount(owner, minlength=rows)),
+                    pa.array(n_grams),
                     *map(pa.array, signs),
-                    pa.array(list(sketch.view(np.int64)), pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sketch.view(np.int64))),
                 ],
                 ["row", "doc_id", "text_md5", "n", "a", "b", "sketch"],
             )
@@ -116,6 +123,11 @@ class Bands:
         """The largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
+    def sketch_words(self, sizes: np.ndarray) -> np.ndarray:
+        """Words of a set's sketch: a power of two, so that a wider sketch folds to a narrower one."""
+        words = np.clip(8 * self.most(sizes, sizes) / 64, SKETCH_WORDS, MOST_SKETCH_WORDS)
+        return 1 << np.ceil(np.log2(words)).astype(np.int64)
+
     def _pieces(self, band: int) -> tuple[int, int]:
         """Pieces, and how many empty ones a set may have before it must send them, too."""
         top = int(self.low[band + 1]) - 1
@@ -195,6 +207,16 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         yield from links
 
 
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hamming distances of each sketch of ``one`` and each of ``two``, folded to the narrower width."""
+    words = min(one.shape[1], two.shape[1])
+    one, two = (np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1).view(np.uint64).T for x in (one, two))
+    far = np.zeros((one.shape[1], two.shape[1]), np.int64)
+    for x, y in zip(one, two, strict=True):
+        far += np.bitwise_count(x[:, None] ^ y[None])
+    return far
+
+
 def _near(bands: Bands, nearest: int):
     """Pairs of one block of a bucket, or of two, that differ in component and may be linked.
 
@@ -204,21 +226,31 @@ def _near(bands: Bands, nearest: int):
     def pairs(table: pa.Table) -> pa.Table:
         order = np.argsort(table["cid"].to_numpy(), kind="stable")
         cid, root, size, side = (table[c].to_numpy()[order] for c in ("cid", "root", "n", "side"))
-        sketch = np.array(table["sketch"].combine_chunks().flatten().to_numpy()).reshape(-1, SKETCH_WORDS)[order]
+        lists = table["sketch"].combine_chunks()
+        words, width = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        first, width = (np.cumsum(width) - width)[order], width[order]
         across = bool(side[0] >= 0)  # two blocks: pairs across them
         one = np.flatnonzero(side == side[0])
         two = np.flatnonzero(side != side[0]) if across else one
-        found = []
-        for some in np.array_split(one, len(one) // BLOCK + 1):
-            both = np.ix_(some, two)
-            far = np.zeros((len(some), len(two)), np.int64)
-            for w in range(SKETCH_WORDS):
-                far += np.bitwise_count((sketch[some, w][:, None] ^ sketch[two, w][None]).view(np.uint64))
-            near = (far <= bands.most(size[:, None], size[None])[both]) & (root[:, None] != root[None])[both]
-            if not across:
-                near &= some[:, None] < two[None]
-            x, y = np.nonzero(near)
-            found.append(np.stack([some[x], two[y], far[x, y]]))
+
+        def alike(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            """Rows by the width of their sketches, which they come with."""
+            parts = [(rows[width[rows] == w], w) for w in np.unique(width[rows])]
+            parts = [(x, w) for p, w in parts for x in np.array_split(p, len(p) // BLOCK + 1)]
+            return [(x, words[first[x][:, None] + np.arange(w)]) for x, w in parts]
+
+        found = [np.zeros((3, 0), np.int64)]
+        others = alike(two)
+        for some, ours in alike(one):
+            for rest, theirs in others:
+                low, high = np.minimum(size[some][:, None], size[rest]), np.maximum(size[some][:, None], size[rest])
+                near = (100 * low >= bands.percent * high) & (root[some][:, None] != root[rest])
+                if not across:
+                    near &= some[:, None] < rest
+                if near.any():
+                    far = _apart(ours, theirs)
+                    x, y = np.nonzero(near & (far <= bands.most(low, high)))
+                    found.append(np.stack([some[x], rest[y], far[x, y]]))
         x, y, far = np.concatenate(found, axis=1)
         lower, higher = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
         sent = np.zeros(len(x), bool)
@@ -235,11 +267,21 @@ def _near(bands: Bands, nearest: int):
 
 
 def _possible(a: str, b: str, bands: Bands) -> Column:
-    """The sketches' Hamming distance is within the bound for the sets' sizes."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    far = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)),
-              F.lit(0))
-    return far * (100 + bands.percent) <= total * (100 - bands.percent)
+    """Sizes and the Hamming distance of the sketches, folded to the narrower one's width, are within the bounds."""
+    n, m, one, two = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+    words = F.least(F.size(one), F.size(two))
+
+    def folded(x: Column) -> Column:
+        def word(i: Column) -> Column:
+            at = F.sequence(i, F.size(x) - 1, words)
+            return F.aggregate(at, F.lit(0).cast("bigint"), lambda all_, j: all_.bitwiseXOR(x[j]))
+
+        return F.when(F.size(x) == words, x).otherwise(F.transform(F.sequence(F.lit(0), words - 1), word))
+
+    bits = F.zip_with(folded(one), folded(two), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    far = F.aggregate(bits, F.lit(0), lambda all_, x: all_ + x)
+    sizes = 100 * F.least(n, m) >= bands.percent * F.greatest(n, m)
+    return sizes & (far * (100 + bands.percent) <= (n + m) * (100 - bands.percent))
 
 
 def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -254,7 +296,7 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     bands = Bands(percent)
     # Texts are dealt by row once; every join with them below finds them in place.
     texts = keep_bucketed(numbered(docs), "row", "jaccard-texts", dealt=True)
-    profiles = keep(texts.mapInArrow(lambda b: lean(_profiles(b, n)), PROFILE), "jaccard-profiles")
+    profiles = keep(texts.mapInArrow(lambda b: lean(_profiles(b, n, bands)), PROFILE), "jaccard-profiles")
     classes = keep(
         profiles.filter("n > 0").groupBy("n", "a", "b").agg(F.min("row").alias("cid")), "jaccard-classes"
     )
@@ -289,8 +331,9 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     links = keep(_verify(tried, texts, n, percent), "jaccard-links")
     roots = components(links)
 
+    crowds = keep(_crowds(shared, roots), "jaccard-crowds")
     for nearest in NEAREST:
-        near = keep(_unresolved(shared, roots, sketches, bands, nearest), "jaccard-near")
+        near = keep(_unresolved(crowds, roots, sketches, bands, nearest), "jaccard-near")
         rest = keep(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
         if not rest.isEmpty():
             links = keep(links.unionByName(_verify(rest, texts, n, percent)), "jaccard-links")
@@ -299,7 +342,7 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         if held.isEmpty():
             break
         tried = tried.unionByName(rest)
-        shared = shared.join(held, "key", "left_semi")  # the other buckets have sent all
+        crowds = crowds.join(held, "key", "left_semi")  # the others have sent all
 
     roots = roots.select(F.col("node").alias("cid"), "root")
     named = classes.join(roots, "cid", "left").select("n", "a", "b", F.coalesce("root", "cid").alias("root"))
@@ -322,31 +365,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     )
 
 
-def _unresolved(shared: DataFrame, roots: DataFrame, sketches: DataFrame, bands: Bands, nearest: int) -> DataFrame:
-    """``key, a, b, cut``: pairs of buckets that had more than ``SMALL`` sets and are in several components still.
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    found = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    return found.withColumn("root", F.coalesce("root", "cid"))
 
-    Sets outside a bucket's largest component, mostly few, meet that component's and each other block by block.
-    """
-    large = shared.filter(F.col("m") > SMALL).join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    large = large.select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    open_ = (
-        large.groupBy("key", "root")
+
+def _parts(rows: DataFrame, *by: str) -> DataFrame:
+    """Per bucket, of rows ``(*by, cid, root)``: its sets ``m``, its largest component ``main`` with ``k`` of them,
+    and ``who``, which tells its sets."""
+    return (
+        rows.groupBy(*by, "root")
         .agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("who"))
-        .groupBy("key")
+        .groupBy(*by)
         .agg(
             F.max(F.struct("k", "root")).alias("main"),
             F.sum("k").alias("m"),
             F.sum(F.col("who").cast("decimal(38,0)")).alias("who"),
         )
-        .filter("main.k < m")
-        .groupBy("m", "who")  # buckets of the same sets are looked at once
-        .agg(F.min_by(F.struct("key", "main"), "key").alias("one"))
+        .select(*by, "m", "who", "main.k", F.col("main.root").alias("main"))
+    )
+
+
+def _crowds(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, cid``: buckets that had more than ``SMALL`` sets and are in several components still, merged.
+
+    Buckets of about the same size with the same most-met set become one, unless that would compare more pairs
+    of sets than they do; so all sets of a bucket stay together, and few pairs are in many buckets.
+    """
+    large = _rooted(shared.filter(F.col("m") > SMALL).select("key", "cid"), roots)
+    open_ = _parts(large, "key").filter("k < m")
+    open_ = open_.groupBy("m", "who").agg(F.min("key").alias("key"), F.min_by("k", "key").alias("k"))
+    rows = large.join(open_.select("key", "m", "k"), "key")
+    rows = keep(rows.withColumn("popular", F.sum("m").over(Window.partitionBy("cid"))), "jaccard-open")
+    buckets = rows.groupBy("key", "m", "k").agg(F.max_by("cid", F.struct("popular", "cid")).alias("hub"))
+    alike = [F.col("hub"), F.floor(F.log2("m")).alias("size")]
+    buckets = keep(buckets.select("key", "m", "k", *alike), "jaccard-hubs")
+    own = buckets.groupBy("hub", "size").agg(F.min("key").alias("one"), F.sum(F.expr("(m - k) * m")).alias("work"))
+    met = rows.select("key", "cid", "root").join(buckets.select("key", "hub", "size"), "key")
+    union = _parts(met.select("hub", "size", "cid", "root").distinct(), "hub", "size")
+    merged = own.join(union, ["hub", "size"]).filter("(m - k) * m <= work").select("hub", "size", "one")
+    to = buckets.join(merged, ["hub", "size"], "left").select("key", F.coalesce("one", "key").alias("to"))
+    return rows.join(to, "key").select(F.col("to").alias("key"), "cid").distinct()
+
+
+def _unresolved(crowds: DataFrame, roots: DataFrame, sketches: DataFrame, bands: Bands, nearest: int) -> DataFrame:
+    """``key, a, b, cut``: pairs of merged buckets that are in several components still.
+
+    Sets outside a bucket's largest component, mostly few, meet that component's and each other block by block.
+    """
+    large = _rooted(crowds, roots)
+    open_ = (
+        _parts(large, "key")
+        .filter("k < m")
         .select(
-            "one.key", "one.main.root",
-            F.ceil(F.col("one.main.k") / BLOCK).cast("int").alias("inside"),
-            F.ceil((F.col("m") - F.col("one.main.k")) / BLOCK).cast("int").alias("outside"),
+            "key", "main",
+            F.ceil(F.col("k") / BLOCK).cast("int").alias("inside"),
+            F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("int").alias("outside"),
         )
-        .withColumnRenamed("root", "main")
     )
     main = F.col("root") == F.col("main")
     own = F.pmod(F.xxhash64("cid"), F.when(main, F.col("inside")).otherwise(F.col("outside"))).cast("int")

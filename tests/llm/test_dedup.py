@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tablewarden.llm import jaccard_join
 from tablewarden.llm.exact_dedup import exact_groups
@@ -115,6 +116,49 @@ def test_near_copies_sent_in_rounds_match_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, 5, 80)
 
 
+def kept_by_label(monkeypatch):
+    kept, keep = {}, jaccard_join.keep
+    monkeypatch.setattr(jaccard_join, "keep", lambda df, label: kept.setdefault(label, []).append(keep(df, label)) or kept[label][-1])
+    return kept
+
+
+def test_large_sets_that_share_half_their_words_are_no_candidates(spark, monkeypatch):
+    """Sets of 2,996 n-grams and similarity 1/3, which meet in many buckets."""
+    kept = kept_by_label(monkeypatch)
+    rows = [(i, " ".join(f"w{k}" if k < 1500 else f"x{i}-{k}" for k in range(3000))) for i in range(24)]
+    rows.append((24, rows[3][1] + " more"))
+    got = similar_components(frame(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, 5, 80)
+    assert kept["jaccard-pairs"][0].count() == 1 and sum(x.count() for x in kept["jaccard-near"]) == 0
+
+
+def test_sets_that_just_miss_are_not_sent_by_every_bucket(spark, monkeypatch):
+    """Sets of 398 n-grams that differ in 48, where linked ones may differ in 41: they meet in many buckets."""
+    kept = kept_by_label(monkeypatch)
+    rows = [(i, " ".join(f"x{i}-{k}" if k % 100 == 8 * i else f"w{k}" for k in range(400))) for i in range(12)]
+    got = similar_components(frame(spark, rows), 3, 90).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == similar_brute(rows, 3, 90)
+    near = kept["jaccard-near"][0]
+    assert 0 < near.count() < 8 * near.select("a", "b").distinct().count()
+
+
+def test_distances_of_folded_sketches(spark):
+    """Sketches of 16 and 8 words compare as if both had 8."""
+    pick = np.random.default_rng(3)
+    wide, narrow = (pick.integers(-(2**63), 2**63 - 1, (4, w)) for w in (16, 8))
+    folded = wide[:, :8] ^ wide[:, 8:]
+    want = [[sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) for b in narrow] for a in folded]
+    assert jaccard_join._apart(wide, narrow).tolist() == want
+    assert jaccard_join._apart(narrow, wide).T.tolist() == want
+    bands = jaccard_join.Bands(80)
+    sets = [spark.createDataFrame([(1000, x[0].tolist())], "n bigint, sketch array<bigint>") for x in (wide, narrow)]
+    both = sets[0].select(F.struct("*").alias("xa")).crossJoin(sets[1].select(F.struct("*").alias("xb")))
+    for reached in (want[0][0], want[0][0] - 1):
+        sized = both.withColumn("xa", F.col("xa").withField("n", F.lit(reached * 9 // 2)))
+        sized = sized.withColumn("xb", F.col("xb").withField("n", F.lit(reached * 9 - reached * 9 // 2)))
+        assert sized.filter(jaccard_join._possible("xa", "xb", bands)).count() == (reached == want[0][0])
+
+
 @pytest.mark.parametrize("side", [[-1] * 6, [0, 0, 1, 1, 1, 1]])
 def test_candidates_held_back_are_told(side):
     """Six equal sketches; the first two sets are of one component already, or of one block."""
